@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, secrets, warc
 
-QUERIES = {"op10_mixing": mixing.op10_mixing}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op5_warc": warc.op5_warc,
+    "op9_secrets": secrets.op9_secrets,
+    "op10_mixing": mixing.op10_mixing,
+}
+ORACLE_SQL: dict[str, str] = {"op5_warc": warc.SQL}
