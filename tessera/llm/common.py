@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..runtime import ship
+
 #: What separates words in the whitespace word rule: space, tab, LF, VT, FF, CR.
 WORD = "[^\\x20\\x09-\\x0D]+"
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -71,5 +73,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """At least as many partitions as the cluster runs tasks, for inputs in one small file."""
     spark = df.sparkSession
+    ship(spark)
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < max(2, cores // 2) else df

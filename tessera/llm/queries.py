@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, warc
+from . import langid, licenses, mixing, quality, secrets, warc
 
 QUERIES = {
+    "op4_licenses": licenses.op4_licenses,
     "op5_warc": warc.op5_warc,
+    "op6_langid": langid.op6_langid,
+    "op8_quality": quality.op8_quality,
     "op9_secrets": secrets.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op5_warc": warc.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.SQL, "op5_warc": warc.SQL}
