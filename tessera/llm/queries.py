@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, mixing, quality, secrets, warc
+from . import langid, licenses, minhash, mixing, quality, secrets, warc
 
 QUERIES = {
+    "op2_minhash": minhash.op2_minhash,
     "op4_licenses": licenses.op4_licenses,
     "op5_warc": warc.op5_warc,
     "op6_langid": langid.op6_langid,
@@ -12,4 +13,4 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.SQL, "op5_warc": warc.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_minhash": minhash.SQL, "op4_licenses": licenses.SQL, "op5_warc": warc.SQL}
