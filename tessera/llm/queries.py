@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, minhash, mixing, quality, secrets, warc
+from . import langid, licenses, lines, minhash, mixing, quality, secrets, warc
 
 QUERIES = {
+    "op1_lines": lines.op1_lines,
     "op2_minhash": minhash.op2_minhash,
     "op4_licenses": licenses.op4_licenses,
     "op5_warc": warc.op5_warc,
