@@ -48,7 +48,7 @@ class Stages:
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         path = self.path(label)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessera_path = path
         return out

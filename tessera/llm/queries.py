@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, lines, minhash, mixing, quality, secrets, warc
+from . import langid, licenses, lines, minhash, mixing, quality, secrets, syncmers, warc
 
 QUERIES = {
     "op1_lines": lines.op1_lines,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_licenses": licenses.op4_licenses,
     "op5_warc": warc.op5_warc,
     "op6_langid": langid.op6_langid,
+    "op7_syncmers": syncmers.op7_syncmers,
     "op8_quality": quality.op8_quality,
     "op9_secrets": secrets.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
