@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, lines, minhash, mixing, quality, secrets, syncmers, warc
+from . import decontaminate, langid, licenses, lines, minhash, mixing, quality, secrets, syncmers, warc
 
 QUERIES = {
     "op1_lines": lines.op1_lines,
     "op2_minhash": minhash.op2_minhash,
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op4_licenses": licenses.op4_licenses,
     "op5_warc": warc.op5_warc,
     "op6_langid": langid.op6_langid,
