@@ -127,7 +127,7 @@ def find_leaks(
     block_items: int = 256,
     rank: int = 240,
     oversample: int = 16,
-    least_cosine: float = 0.2,
+    least_cosine: float = 0.3,
     verbatim: float = 0.8,
     paraphrase: float = 0.5,
     answer_words: int = 8,
@@ -231,8 +231,11 @@ def find_leaks(
                         continue
                     cos = (p[rows] / norm[rows][:, None]) @ query.T
                     best: dict[int, tuple] = {}
-                    for r, k in zip(*np.nonzero(cos >= least_cosine)):
-                        item_id, item = items[k]
+                    near = np.flatnonzero(cos >= least_cosine)
+                    for r, k in zip(*np.unravel_index(near[np.argsort(-cos.ravel()[near], kind="stable")], cos.shape)):
+                        if best.get(k, (0,))[0] >= 1:
+                            continue
+                        item = items[k][1]
                         length = max(len(item) + 8, len(item) * 5 // 4)
                         begin = int(rows[r]) * CHUNK
                         low, high = max(0, begin - length), min(len(ids), begin + 2 * CHUNK + length)
