@@ -43,12 +43,12 @@ def anchors(text: Column) -> Column:
 
 
 def sketch(anchors_: Column, size: int) -> Column:
-    """The ``size`` least distinct hashes: a sample of the text's anchors that is alike in all texts that share them."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(anchors_, lambda x: x["hash"]))), 1, size)
+    """The ``size`` least distinct hashes (32 bits): a sample of the text's anchors that is alike in all texts that share them."""
+    return F.slice(F.array_sort(F.array_distinct(F.transform(anchors_, lambda x: F.shiftright(x["hash"], 32).cast("int")))), 1, size)
 
 
 def as_string(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column, size: int) -> Column:
@@ -113,11 +113,12 @@ def fingerprints(docs: DataFrame, size: int = 64) -> DataFrame:
     lengths = order.join(sizes, ["id", "rk"])
     # from the next document's side: who comes before it, and how many characters it lends
     lends = stages.keep(lengths.select(F.col("next_id").alias("id"), F.col("next_rk").alias("rk"), F.col("id").alias("to_id"), F.col("rk").alias("to_rk"), F.floor(F.col("n_chars") / 2).cast("int").alias("lent")), "lends")
-    own = stages.keep(rows.join(lends, ["id", "rk"]).withColumn("a", anchors(F.col("text"))).select("id", "rk", "text", "to_id", "to_rk", "lent", F.size("a").alias("n_anchors"), sketch(F.col("a"), size).alias("s")), "own")
-    loan = own.dropDuplicates(["id", "rk"]).select(F.col("to_id").alias("id"), F.col("to_rk").alias("rk"), F.substring("text", F.lit(1), F.col("lent")).alias("loan"), F.col("s").alias("next_s"))
+    # both joins are by (id, rk) and need all of these columns, so that the texts are shuffled once
+    own = rows.withColumn("a", anchors(F.col("text"))).select("id", "rk", "text", F.struct(F.size("a").alias("n"), sketch(F.col("a"), size).alias("s")).alias("f"))
+    loan = own.join(lends, ["id", "rk"]).groupBy(F.col("to_id").alias("id"), F.col("to_rk").alias("rk")).agg(F.first(F.substring("text", F.lit(1), F.col("lent"))).alias("loan"), F.first("f").alias("next_f"))
     m = F.floor(F.length("text") / 2).cast("int")
-    both = own.select("id", "rk", "text", "n_anchors", "s").join(loan, ["id", "rk"])
-    both = both.select("id", F.length("text").cast("long").alias("n_chars"), "n_anchors", "s", "next_s", F.concat(F.substring("text", F.lit(1), F.length("text") - m), "loan").alias("edited"))
+    both = own.join(loan, ["id", "rk"])
+    both = both.select("id", F.length("text").cast("long").alias("n_chars"), F.col("f.n").alias("n_anchors"), F.col("f.s").alias("s"), F.col("next_f.s").alias("next_s"), F.concat(F.substring("text", F.lit(1), F.length("text") - m), "loan").alias("edited"))
     both = both.select("*", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(anchors(F.col("edited")), size).alias("e"))
     return both.select(
         F.when(F.col("id") != nowhere, F.col("id")).alias("doc_id"),
