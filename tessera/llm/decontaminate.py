@@ -72,7 +72,7 @@ class Block:
         self.size = len(vocabulary)
 
     def weigh(self, df: np.ndarray, chunks: int, most_df: float = 0.05, least: int = 5) -> np.ndarray:
-        """IDF by chunks. Words in over ``most_df`` of them count for nothing, but for items that would keep under ``least`` different ones."""
+        """IDF of a word by its occurrences per chunk. Words with over ``most_df`` of them count for nothing, but for items that would keep under ``least`` different ones."""
         idf = np.log1p(chunks / np.maximum(df, 1)).astype(np.float32)
         common = df > most_df * chunks
         keep = np.zeros(self.size, bool)
@@ -81,15 +81,15 @@ class Block:
                 keep[ws] = True
         return np.where(common & ~keep, 0, idf).astype(np.float32)
 
-    def vectors(self, idf: np.ndarray) -> np.ndarray:
+    def vectors(self, idf: np.ndarray, unit: bool = True) -> np.ndarray:
         out = np.zeros((len(self.coded), self.size), np.float32)
         for row, (_, ws) in zip(out, self.coded):
             np.add.at(row, ws, idf[ws])
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9) if unit else out
 
 
 def chunked(ids: np.ndarray, idf: np.ndarray, table: np.ndarray):
-    """(positions that count, their chunk, chunk sums of table rows, sum of squared weights per chunk)."""
+    """(positions that count, their chunk, chunk sums of rows of the weighted table, sum of squared weights per chunk)."""
     n = max(1, -(-len(ids) // CHUNK))
     pos = np.flatnonzero(ids != OTHER)
     pos = pos[idf[ids[pos]] > 0]
@@ -99,7 +99,7 @@ def chunked(ids: np.ndarray, idf: np.ndarray, table: np.ndarray):
     if len(pos):
         starts = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1])))
         w = idf[ids[pos]]
-        sums[chunk[starts]] = np.add.reduceat(table[ids[pos]] * w[:, None], starts)
+        sums[chunk[starts]] = np.add.reduceat(table[ids[pos]], starts)
         squares[chunk[starts]] = np.add.reduceat(w * w, starts)
     return pos, chunk, sums, squares
 
@@ -125,9 +125,10 @@ def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
     block_items: int = 256,
-    rank: int = 240,
+    rank: int = 112,
     oversample: int = 16,
-    least_cosine: float = 0.3,
+    least_cosine: float = 0.4,
+    least_cover: float = 0.2,
     verbatim: float = 0.8,
     paraphrase: float = 0.5,
     answer_words: int = 8,
@@ -137,7 +138,8 @@ def find_leaks(
 
     lcs is the longest common subsequence of the item's words with a stretch of the text 1.25 times as long (at
     least 8 words longer), as a share of the item; answer the same of its last ``answer_words`` words, where the
-    answer stands. From lcs >= ``verbatim`` it is a leak, from ``paraphrase`` on if the answer is there by half or more. Every passage of every
+    answer stands. A passage is a candidate for an item if their latent cosine is ``least_cosine`` or more and the passage holds
+    ``least_cover`` of the item's latent weight, so that one shared word doesn't make one. From lcs >= ``verbatim`` it is a leak, from ``paraphrase`` on if the answer is there by half or more. Every passage of every
     text is compared with all items, in blocks of ``block_items``. Items without words match nothing; null and empty texts have none.
     Rows don't depend on each other but for the statistics: a repeated row gives its matches again; empty tables give an
     empty result; further columns are ignored. The driver holds a block's items and one matrix of its words by rank.
@@ -160,9 +162,7 @@ def find_leaks(
                 for text in batch.column(1).to_pylist():
                     ws = words(text)
                     ids = np.fromiter((number.get(w, OTHER) for w in ws), np.uint16, len(ws))
-                    pos = np.flatnonzero(ids != OTHER)
-                    seen = np.unique((pos // CHUNK).astype(np.int64) * size + ids[pos]) % size
-                    df[:size] += np.bincount(seen, minlength=size)
+                    df[:size] += np.bincount(ids, minlength=OTHER + 1)[:size]
                     chunks += -(-len(ws) // CHUNK)
                     coded.append(ids.tobytes())
                 n = len(coded)
@@ -177,8 +177,11 @@ def find_leaks(
         texts = coded.where("ids IS NOT NULL").select("doc_id", "ids")
         idf = block.weigh(df[:size], df[size])
         width = min(size, rank + oversample)
+        # drawn alike wherever it is drawn again
         omega = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0].astype(np.float32)
 
+        weighted = omega * idf[:, None]
+
         def sketch(batches):
             z, held, rows = np.zeros((size, width), np.float32), [], 0
 
@@ -196,7 +199,7 @@ def find_leaks(
             for batch in batches:
                 for x in batch.column(1):
                     ids = np.frombuffer(x.as_buffer(), np.uint16)
-                    pos, chunk, sums, squares = chunked(ids, idf, omega)
+                    pos, chunk, sums, squares = chunked(ids, idf, weighted)
                     if len(pos):
                         y = passages(sums) / np.maximum(passages(squares), 1e-9)[:, None]
                         g = np.zeros_like(sums)
@@ -215,23 +218,25 @@ def find_leaks(
         # the items weigh as much as all passages together, so that the space tells them apart
         weight = 2 * df[size] / max(1, len(own))
         space = right_space(z + weight * (own.T @ (own @ omega)), omega, rank)
-        query = own @ space
-        query /= np.maximum(np.linalg.norm(query, axis=1, keepdims=True), 1e-9)
-        items = block.coded
+        query = block.vectors(idf, unit=False) @ space
+        lengths = np.maximum(np.linalg.norm(query, axis=1), 1e-9)
+        query /= lengths[:, None]
+        items, projected = block.coded, space * idf[:, None]
 
         def search(batches):
             for batch in batches:
                 found = []
                 for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                     ids = np.frombuffer(x.as_buffer(), np.uint16)
-                    p = passages(chunked(ids, idf, space)[2])
+                    p = passages(chunked(ids, idf, projected)[2])
                     norm = np.linalg.norm(p, axis=1)
                     rows = np.flatnonzero(norm > 1e-6)
                     if not len(rows):
                         continue
-                    cos = (p[rows] / norm[rows][:, None]) @ query.T
+                    along = p[rows] @ query.T
+                    cos = along / norm[rows][:, None]
                     best: dict[int, tuple] = {}
-                    near = np.flatnonzero(cos >= least_cosine)
+                    near = np.flatnonzero((cos >= least_cosine) & (along >= least_cover * lengths))
                     for r, k in zip(*np.unravel_index(near[np.argsort(-cos.ravel()[near], kind="stable")], cos.shape)):
                         if best.get(k, (0,))[0] >= 1:
                             continue
