@@ -137,8 +137,8 @@ def find_leaks(
     """(doc_id, item_id, lcs, answer, cosine): which texts hold a benchmark item, whole or paraphrased.
 
     lcs is the longest common subsequence of the item's words with a stretch of the text 1.25 times as long (at
-    least 8 words longer), as a share of the item; answer the same of its last ``answer_words`` words, where the
-    answer stands. A passage is a candidate for an item if their latent cosine is ``least_cosine`` or more and the passage holds
+    least 8 words longer), as a share of the item, or that of its words without the common ones if it is less; answer
+    the same of its last ``answer_words`` such words, where the answer stands. A passage is a candidate for an item if their latent cosine is ``least_cosine`` or more and the passage holds
     ``least_cover`` of the item's latent weight, so that one shared word doesn't make one. From lcs >= ``verbatim`` it is a leak, from ``paraphrase`` on if the answer is there by half or more. Every passage of every
     text is compared with all items, in blocks of ``block_items``. Items without words match nothing; null and empty texts have none.
     Rows don't depend on each other but for the statistics: a repeated row gives its matches again; empty tables give an
@@ -222,6 +222,10 @@ def find_leaks(
         lengths = np.maximum(np.linalg.norm(query, axis=1), 1e-9)
         query /= lengths[:, None]
         items, projected = block.coded, space * idf[:, None]
+        # words that count in vectors; common ones alone make no leak
+        counts = np.concatenate((idf > 0, np.zeros(OTHER + 1 - size, bool)))
+        content = [[w for w in ws if idf[w] > 0] for _, ws in items]
+        answers = [ws[-answer_words:] for ws in content]
 
         def search(batches):
             for batch in batches:
@@ -253,10 +257,10 @@ def find_leaks(
                             stretch = part[at : at + length]
                             if shared[at : at + length].sum() < max(paraphrase * len(item), best.get(k, (0,))[0] * len(item)):
                                 continue
-                            lcs = common_length(item, stretch) / len(item)
+                            telling = stretch[counts[stretch]]
+                            lcs = min(common_length(item, stretch) / len(item), common_length(content[k], telling) / len(content[k]))
                             if lcs > best.get(k, (0,))[0]:
-                                tail = item[-answer_words:]
-                                best[k] = (lcs, common_length(tail, stretch) / len(tail), float(cos[r, k]))
+                                best[k] = (lcs, common_length(answers[k], telling) / len(answers[k]), float(cos[r, k]))
                     found += [(doc_id, items[k][0], *b) for k, b in best.items() if b[0] >= verbatim or b[0] >= paraphrase and b[1] >= 0.5]
                 cols = list(zip(*found)) if found else [[]] * 5
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(("doc_id", "item_id", "lcs", "answer", "cosine"), cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))})

@@ -40,6 +40,7 @@ def test_codewords_are_apart():
 def test_pairs_in_linear_time():
     rng = np.random.default_rng(0)
     x = np.abs(rng.normal(size=(300, quality.WORDS + quality.STATS))).astype(np.float32)
+    x[:, : quality.WORDS] /= np.linalg.norm(x[:, : quality.WORDS], axis=1, keepdims=True)
     m = quality.Machine(x, (x[:, -1] > x[:, -2]).astype(np.float32), epochs=2)
     z = m.scaled(x[:5])
     for row, got in zip(z.astype(float), m.raw(z)):
