@@ -76,3 +76,20 @@ def spread(df: DataFrame) -> DataFrame:
     ship(spark)
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < max(2, cores // 2) else df
+
+
+def _bitmap(ids: DataFrame, bits: int = 23) -> DataFrame:
+    """256 rows of 4 KB at most, whatever the number of ids: which ids may be among them."""
+    at = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << bits)) + 1
+    return ids.select(F.bitmap_bucket_number(at).alias("part"), F.bitmap_bit_position(at).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def maybe_in(rows: DataFrame, ids: DataFrame, bits: int = 23) -> DataFrame:
+    """Rows whose node may be among the ids: all that are, and few others, before anything is shuffled.
+
+    A left semi join with the ids would be moved below this one; follow it by an inner join.
+    """
+    at = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << bits)) + 1
+    rows = rows.withColumn("part", F.bitmap_bucket_number(at)).join(F.broadcast(_bitmap(ids, bits)), "part")
+    byte = F.conv(F.hex(F.substring("bitmap", (F.bitmap_bit_position(at) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.where(F.getbit(byte, F.pmod(F.bitmap_bit_position(at), F.lit(8)).cast("int")) == 1).drop("part", "bitmap")

@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Stages
 
 
+#: Edges that one task takes.
+ONE_TASK = 200_000
+
+
 def _digest(edges: DataFrame):
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit(0xFFFFFFFFFF)))).first())
 
@@ -24,17 +28,23 @@ def components(stages: Stages, edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of the edges (a, b): comp is the group's smallest node.
 
     Alternating large and small stars: each step joins every node to the least of its neighbours;
-    a hub's neighbours are reduced before they are shuffled.
+    a hub's neighbours are reduced before they are shuffled. Up to ONE_TASK edges, some megabytes, the steps
+    run in one task, which needs no exchange; more are dealt to all.
     """
     now = stages.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     seen = _digest(now)
     while True:
+        now = now.coalesce(1) if seen[0] <= ONE_TASK else now
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = both.coalesce(1) if seen[0] <= ONE_TASK else both
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stages.keep(large.where("a <> b").distinct(), "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        one = large.coalesce(1) if seen[0] <= ONE_TASK else large
+        low = one.groupBy("a").agg(F.min("b").alias("m"))
+        small = one.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = small.unionByName(low.select("a", F.col("m").alias("b")))
+        small = small.coalesce(1) if seen[0] <= ONE_TASK else small
         new = stages.keep(small.where("a <> b").distinct(), "small")
         stages.drop(now, large)
         now, last, seen = new, seen, _digest(new)
@@ -49,12 +59,15 @@ def shared(stages: Stages, buckets: DataFrame) -> DataFrame:
     return stages.keep(buckets.join(several, "bucket", "left_semi").distinct(), "shared")
 
 
-def link(stages: Stages, members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 6) -> DataFrame | None:
+def link(stages: Stages, members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 6, leaders: int = 1, rest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
     """(node, comp) of all nodes that a link joins to another; None if there is none.
 
+    Each round compares every node of a bucket with up to ``leaders`` of its members, those that it shares most buckets with.
     ``members`` is (bucket, node), as ``shared`` gives it; ``verify`` gets pairs (a, b), a < b, and gives those that are links.
+    What the rounds leave, rows (bucket, node, comp), goes to ``rest``, which gives edges (a, b) that connect all that is linked there;
+    without it, to ``verify`` as pairs.
     """
-    tested = links = comp = None
+    tested = links = comp = last = None
 
     def labelled() -> DataFrame:
         if comp is None:
@@ -81,14 +94,20 @@ def link(stages: Stages, members: DataFrame, verify: Callable[[DataFrame], DataF
         total, pairs = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("n2")) / 2)).first()
         if not total:
             return comp
-        if pairs <= 2 * total or k == rounds:
-            break
-        leader = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("draw"), "node", "comp")).alias("of"))
+        if pairs <= 2 * total or k == rounds or last is not None and pairs > last / 2:
+            break  # few are left, or leaders don't connect what is
+        last = pairs
+        draws = [F.min(F.struct(F.xxhash64("node", F.lit(k), F.lit(j)).alias("draw"), "node", "comp")).alias(f"l{j}") for j in range(leaders)]
+        leader = rows.groupBy("bucket").agg(*draws).select("bucket", F.explode(F.array_distinct(F.array(*[F.struct(f"l{j}.node", f"l{j}.comp") for j in range(leaders)]))).alias("of"))
         with_leader = rows.join(leader.select("bucket", F.col("of.node").alias("to"), F.col("of.comp").alias("other")), "bucket").where("comp <> other")
-        best = with_leader.groupBy("node", "to").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "to")).alias("best"))
+        counted = with_leader.groupBy("node", "to").agg(F.count(F.lit(1)).alias("n"))
+        best = counted.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "to")), asc=False), 1, leaders).alias("best")).select("node", F.explode("best").alias("best"))
         if not test(best.select(F.least("node", "best.to").alias("a"), F.greatest("node", "best.to").alias("b"))) and k:
             break
-    rows = labelled() if comp is not None else rows
+    if rest is not None:
+        more = stages.keep(rest(rows).select("a", "b"), "rest")
+        links = more if links is None else links.unionByName(more)
+        return stages.keep(components(stages, links), "groups")
     x, y = rows.alias("x"), rows.alias("y")
     test(x.join(y, F.col("x.bucket") == F.col("y.bucket")).where("x.node < y.node AND x.comp <> y.comp").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
     return comp

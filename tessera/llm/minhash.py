@@ -9,12 +9,13 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from . import links
-from .common import Stages
+from .common import Stages, maybe_in
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 A_TO_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: 40 bands of 5 rows: a pair at the threshold 0.8 is missed with a probability of 1e-7.
-BANDS, ROWS = 40, 5
+#: 48 bands of 6 rows: a pair at the threshold 0.8 is missed with a probability of 5e-7, one of
+#: similarity 0.3 compared with one of 0.03.
+BANDS, ROWS = 48, 6
 
 
 class _Numbers(dict):
@@ -59,13 +60,15 @@ def signature(s: np.ndarray, count: int = BANDS * ROWS) -> np.ndarray:
     first = (mixed(s ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32)
     out = np.full(count, 0xFFFFFFFF, np.uint32)
     shift = np.arange(count, dtype=np.uint32)[:, None]
-    for at in range(0, len(first), 2048):
-        x = first[None, at : at + 2048] + shift  # wraps around: the shift is circular
-        x ^= x >> np.uint32(16)
-        x *= np.uint32(0x85EBCA6B)
-        x ^= x >> np.uint32(13)
-        x *= np.uint32(0xC2B2AE35)
-        x ^= x >> np.uint32(16)
+    for at in range(0, len(first), 256):
+        x = first[None, at : at + 256] + shift  # wraps around: the shift is circular
+        x *= np.uint32(0x9E3779B1)
+        y = x >> np.uint32(15)
+        x ^= y
+        x *= np.uint32(0x85EBCA77)
+        np.right_shift(x, np.uint32(13), out=y)
+        x ^= y
+        x *= np.uint32(0xC2B2AE3D)
         np.minimum(out, x.min(1), out=out)
     return out
 
@@ -104,6 +107,77 @@ def _pairs_at_least(percent: int):
     return run
 
 
+def linked_in_blocks(rows: DataFrame, sets: DataFrame, groups: DataFrame, percent: int, most: int = 1 << 20) -> DataFrame:
+    """Edges that connect all linked nodes of each group of nodes that share buckets.
+
+    A group's nodes are dealt to blocks of about ``most`` shingles; every two blocks meet in one task, which
+    counts all its intersections by multiplying incidence matrices and gives one edge
+    per node that is linked to another, whatever the number of links.
+    """
+    import pyarrow as pa
+
+    nodes = rows.select("node", "comp").distinct().join(groups.withColumnRenamed("comp", "grp"), "node").join(sets.withColumnRenamed("cls", "node"), "node")
+    blocks = groups.join(sets.select(F.col("cls").alias("node"), F.length("words").alias("n")), "node").groupBy(F.col("comp").alias("grp")).agg(F.ceil(F.sum(F.col("n") / 8) / most).cast("int").alias("blocks"))
+    nodes = nodes.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    met = nodes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("grp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") == F.least("own", "other")).alias("first"), "node", "comp", "words")
+    met = met.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y")
+
+    def edges_of(group: list[dict]) -> list[tuple[int, int]]:
+        if len({r["comp"] for r in group}) < 2:
+            return []
+        size = np.array([len(r["words"]) // 8 for r in group], np.int64)
+        tokens = np.frombuffer(b"".join(r["words"] for r in group), np.uint64)
+        doc = np.repeat(np.arange(len(group)), size)
+        _, column, count = np.unique(tokens, return_inverse=True, return_counts=True)
+        number = np.cumsum(count > 1) - 1  # a shingle of one set only meets nothing
+        keep = count[column] > 1
+        doc, column = doc[keep], number[column[keep]]
+        order = np.argsort(column, kind="stable")
+        doc, column = doc[order], column[order]
+        both = np.zeros((len(group), len(group)), np.float32)
+        width = max(64, min(4096, (16 << 20) // (4 * len(group))))
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            low, high = np.searchsorted(column, (at, at + width))
+            m = np.zeros((len(group), width), np.float32)
+            m[doc[low:high], column[low:high] - at] = 1
+            both += m @ m.T
+        both = both.astype(np.int64)
+        link = 100 * both >= percent * (size[:, None] + size[None] - both)
+        np.fill_diagonal(link, True)
+        comp = np.array([r["comp"] for r in group])
+        # labels spread over links and over what was connected before
+        label = np.unique(comp, return_inverse=True)[1]
+        while True:
+            new = np.where(link, label[None], len(group)).min(1)
+            least = np.full(label.max() + 1, len(group))
+            np.minimum.at(least, label, new)
+            if (least[label] == label).all():
+                break
+            label = least[label]
+        first: dict[int, int] = {}
+        return [(int(r["node"]), first[k]) for r, k in zip(group, label) if first.setdefault(k, int(r["node"])) != r["node"]]
+
+    def run(batches):
+        held, key = [], None
+
+        def out(group):
+            e = edges_of(group)
+            return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in e], pa.int64()), "b": pa.array([y for _, y in e], pa.int64())})
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (now := (r["grp"], r["x"], r["y"])) != key:
+                    if held:
+                        yield out(held)
+                    held, key = [], now
+                held.append(r)
+        if held:
+            yield out(held)
+
+    return met.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents whose sets of ``width``-word shingles have a Jaccard similarity of ``percent`` / 100 or more.
 
@@ -142,7 +216,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             sets = [shingles(t, width) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"cls": pa.array([set_id(s) for s in sets], pa.int64()), "words": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    texts = docs.join(wanted.select("id").distinct(), "id", "left_semi").select("text").mapInArrow(full, "cls long, words binary")
+    ids = wanted.select("id").distinct().withColumnRenamed("id", "node")
+    texts = maybe_in(docs.withColumnRenamed("id", "node"), ids).join(ids, "node").select("text").mapInArrow(full, "cls long, words binary")
     sets = stages.keep(texts.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -150,7 +225,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         x = x.join(sets.select(F.col("cls").alias("b"), F.col("words").alias("wb")), "b")
         return x.select("a", "b", "wa", "wb").mapInArrow(_pairs_at_least(percent), "a long, b long")
 
-    comp = links.link(stages, members, verify)
+    def rest(rows: DataFrame) -> DataFrame:
+        # nodes that share buckets directly or through others
+        of = rows.groupBy("bucket").agg(F.min("node").alias("b"))
+        groups = stages.keep(links.components(stages, rows.join(of, "bucket").select(F.col("node").alias("a"), "b")), "around")
+        return linked_in_blocks(rows, sets, groups, percent)
+
+    comp = links.link(stages, members, verify, rounds=1, rest=rest)
     if comp is None:
         root = classes.select("cls", F.col("least").alias("component_id"))
     else:
