@@ -10,17 +10,28 @@ from ..functions.text import edit_distance_within_one
 from ..runtime import written
 
 
+#: Up to so many directed edges, some megabytes, a round runs in one task, which needs no exchange.
+ONE_TASK = 400_000
+
+
 def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
-    """(node, component): the least node each node reaches. Labels spread to neighbours and then along labels, until none changes."""
+    """(node, component): the least node each node reaches.
+
+    Labels spread to neighbours and then along labels, until none changes; a hub's neighbours are reduced before they are shuffled.
+    """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     both = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    few = both.count() <= ONE_TASK
+    gather = (lambda df: df.coalesce(1)) if few else (lambda df: df)
+    both = gather(both)
+    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
+    labels = gather(written(labels, "labels"))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
         new = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("c"))
         # a label's own label is at least as small
         jump = labels.select(F.col("node").alias("c"), F.col("component").alias("cc"))
-        new = written(new.join(jump, "c", "left").select("node", F.least("c", F.coalesce("cc", "c")).alias("component"), "old"), "labels")
+        new = gather(written(new.join(jump, "c", "left").select("node", F.least("c", F.coalesce("cc", "c")).alias("component"), "old"), "labels"))
         if new.where("component <> old").isEmpty():
             return new.select("node", "component")
         labels = new.select("node", "component")
