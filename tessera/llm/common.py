@@ -46,9 +46,9 @@ class Stages:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{label}"
 
-    def keep(self, df: DataFrame, label: str) -> DataFrame:
+    def keep(self, df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
         path = self.path(label)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", codec).option("parquet.enable.dictionary", str(codec == "zstd").lower()).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessera_path = path
         return out
