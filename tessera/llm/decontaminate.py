@@ -8,6 +8,7 @@ candidates, and the longest common subsequence of words, with the item's answer,
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -138,7 +139,7 @@ def find_leaks(
 
     lcs is the longest common subsequence of the item's words with a stretch of the text 1.25 times as long (at
     least 8 words longer), as a share of the item, or that of its words without the common ones if it is less; answer
-    the same of its last ``answer_words`` such words, where the answer stands. A passage is a candidate for an item if their latent cosine is ``least_cosine`` or more and the passage holds
+    the same of its last ``answer_words`` such words, where the answer stands. Nearer passages are tried first, until one is ``verbatim``. A passage is a candidate for an item if their latent cosine is ``least_cosine`` or more and the passage holds
     ``least_cover`` of the item's latent weight, so that one shared word doesn't make one. From lcs >= ``verbatim`` it is a leak, from ``paraphrase`` on if the answer is there by half or more. Every passage of every
     text is compared with all items, in blocks of ``block_items``. Items without words match nothing; null and empty texts have none.
     Rows don't depend on each other but for the statistics: a repeated row gives its matches again; empty tables give an
@@ -161,7 +162,7 @@ def find_leaks(
                 coded = []
                 for text in batch.column(1).to_pylist():
                     ws = words(text)
-                    ids = np.fromiter((number.get(w, OTHER) for w in ws), np.uint16, len(ws))
+                    ids = np.fromiter(map(number.get, ws, repeat(OTHER)), np.uint16, len(ws))
                     df[:size] += np.bincount(ids, minlength=OTHER + 1)[:size]
                     chunks += -(-len(ws) // CHUNK)
                     coded.append(ids.tobytes())
@@ -228,6 +229,9 @@ def find_leaks(
         answers = [ws[-answer_words:] for ws in content]
 
         def search(batches):
+            member = np.zeros((len(items), OTHER + 1), bool)  # which words each item has
+            for k, (_, item) in enumerate(items):
+                member[k, item] = True
             for batch in batches:
                 found = []
                 for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -242,14 +246,14 @@ def find_leaks(
                     best: dict[int, tuple] = {}
                     near = np.flatnonzero((cos >= least_cosine) & (along >= least_cover * lengths))
                     for r, k in zip(*np.unravel_index(near[np.argsort(-cos.ravel()[near], kind="stable")], cos.shape)):
-                        if best.get(k, (0,))[0] >= 1:
+                        if best.get(k, (0,))[0] >= verbatim:
                             continue
                         item = items[k][1]
                         length = max(len(item) + 8, len(item) * 5 // 4)
                         begin = int(rows[r]) * CHUNK
                         low, high = max(0, begin - length), min(len(ids), begin + 2 * CHUNK + length)
                         part = ids[low:high]
-                        shared = np.isin(part, item)
+                        shared = member[k, part]
                         if shared.sum() < paraphrase * len(item):
                             continue
                         step = max(1, len(item) // 4)
