@@ -18,6 +18,8 @@ from .common import Stages
 WORD = re.compile(r"[^\W_]+")
 CHUNK = 24  # a passage is two chunks, and each chunk but the ends is in two passages
 OTHER = 0xFFFF  # number of every word that no item of the block has
+LONG = 3 * CHUNK  # items of more words are also sought by pieces as long as a passage
+CELLS = 1 << 22  # cosines that a task holds at once
 
 
 def words(text: str | None) -> list[str]:
@@ -105,6 +107,16 @@ def chunked(ids: np.ndarray, idf: np.ndarray, table: np.ndarray):
     return pos, chunk, sums, squares
 
 
+def pieces(item: list[int], table: np.ndarray) -> np.ndarray:
+    """Sums of rows of the weighted table over the whole item and, if it is LONG, over pieces of a passage's length that cover it, half a chunk apart."""
+    rows = table[item]
+    if len(item) <= LONG:
+        return rows.sum(axis=0, keepdims=True)
+    total = np.concatenate((np.zeros((1, rows.shape[1]), np.float64), np.cumsum(rows, axis=0, dtype=np.float64)))
+    starts = np.append(np.arange(0, len(item) - 2 * CHUNK, CHUNK // 2), len(item) - 2 * CHUNK)
+    return np.concatenate((total[-1:], total[starts + 2 * CHUNK] - total[starts])).astype(np.float32)
+
+
 def passages(x: np.ndarray) -> np.ndarray:
     """Sums of neighbouring chunks; a single chunk is a passage by itself."""
     return x if len(x) == 1 else x[:-1] + x[1:]
@@ -140,7 +152,8 @@ def find_leaks(
     lcs is the longest common subsequence of the item's words with a stretch of the text 1.25 times as long (at
     least 8 words longer), as a share of the item, or that of its words without the common ones if it is less; answer
     the same of its last ``answer_words`` such words, where the answer stands. Nearer passages are tried first, until one is ``verbatim``. A passage is a candidate for an item if their latent cosine is ``least_cosine`` or more and the passage holds
-    ``least_cover`` of the item's latent weight, so that one shared word doesn't make one. From lcs >= ``verbatim`` it is a leak, from ``paraphrase`` on if the answer is there by half or more. Every passage of every
+    ``least_cover`` of the item's latent weight, so that one shared word doesn't make one; for an item of over LONG words, of which a
+    passage can hold but a part, also if both hold for one of its pieces. From lcs >= ``verbatim`` it is a leak, from ``paraphrase`` on if the answer is there by half or more. Every passage of every
     text is compared with all items, in blocks of ``block_items``. Items without words match nothing; null and empty texts have none.
     Rows don't depend on each other but for the statistics: a repeated row gives its matches again; empty tables give an
     empty result; further columns are ignored. The driver holds a block's items and one matrix of its words by rank.
@@ -219,10 +232,11 @@ def find_leaks(
         # the items weigh as much as all passages together, so that the space tells them apart
         weight = 2 * df[size] / max(1, len(own))
         space = right_space(z + weight * (own.T @ (own @ omega)), omega, rank)
-        query = block.vectors(idf, unit=False) @ space
+        items, projected = block.coded, space * idf[:, None]
+        parts = [pieces(ws, projected) for _, ws in items]
+        query, item_of = np.concatenate(parts), np.repeat(np.arange(len(items)), [len(p) for p in parts])
         lengths = np.maximum(np.linalg.norm(query, axis=1), 1e-9)
         query /= lengths[:, None]
-        items, projected = block.coded, space * idf[:, None]
         # words that count in vectors; common ones alone make no leak
         counts = np.concatenate((idf > 0, np.zeros(OTHER + 1 - size, bool)))
         content = [[w for w in ws if idf[w] > 0] for _, ws in items]
@@ -241,13 +255,22 @@ def find_leaks(
                     rows = np.flatnonzero(norm > 1e-6)
                     if not len(rows):
                         continue
-                    along = p[rows] @ query.T
-                    cos = along / norm[rows][:, None]
+                    near = []
+                    several = max(1, CELLS // len(query))
+                    for first in range(0, len(rows), several):
+                        some = rows[first : first + several]
+                        along = p[some] @ query.T
+                        cos = along / norm[some][:, None]
+                        r, q = np.nonzero((cos >= least_cosine) & (along >= least_cover * lengths))
+                        near.append((r + first, item_of[q], cos[r, q]))
+                    r, k, cos = map(np.concatenate, zip(*near))
+                    order = np.argsort(-cos, kind="stable")
                     best: dict[int, tuple] = {}
-                    near = np.flatnonzero((cos >= least_cosine) & (along >= least_cover * lengths))
-                    for r, k in zip(*np.unravel_index(near[np.argsort(-cos.ravel()[near], kind="stable")], cos.shape)):
-                        if best.get(k, (0,))[0] >= verbatim:
+                    tried = set()
+                    for r, k, cosine in zip(r[order].tolist(), k[order].tolist(), cos[order].tolist()):
+                        if best.get(k, (0,))[0] >= verbatim or (r, k) in tried:
                             continue
+                        tried.add((r, k))
                         item = items[k][1]
                         length = max(len(item) + 8, len(item) * 5 // 4)
                         begin = int(rows[r]) * CHUNK
@@ -264,7 +287,7 @@ def find_leaks(
                             telling = stretch[counts[stretch]]
                             lcs = min(common_length(item, stretch) / len(item), common_length(content[k], telling) / len(content[k]))
                             if lcs > best.get(k, (0,))[0]:
-                                best[k] = (lcs, common_length(answers[k], telling) / len(answers[k]), float(cos[r, k]))
+                                best[k] = (lcs, common_length(answers[k], telling) / len(answers[k]), cosine)
                     found += [(doc_id, items[k][0], *b) for k, b in best.items() if b[0] >= verbatim or b[0] >= paraphrase and b[1] >= 0.5]
                 cols = list(zip(*found)) if found else [[]] * 5
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(("doc_id", "item_id", "lcs", "answer", "cosine"), cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))})

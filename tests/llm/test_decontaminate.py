@@ -67,3 +67,40 @@ def test_edge_cases(spark):
     got = sorted((r["doc_id"] or 0, r["item_id"]) for r in D.find_leaks(d, b).collect())
     assert got == [(0, 7), (3, 7), (3, 7)]
     assert D.find_leaks(d.limit(0), b).count() == 0 and D.find_leaks(d, b.limit(0)).count() == 0
+
+
+def long_corpus():
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghiklmnoprst") for _ in range(rng.randint(4, 9))) for _ in range(6000)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(k, prose(n)) for k, n in enumerate((300, 400, 600, 800, 1000) * 4)] + [(100 + k, prose(rng.randint(12, 70))) for k in range(20)]
+    docs, leaks = [(1000 + i, prose(900)) for i in range(40)], set()
+    for i, (k, item) in enumerate(items[:20]):
+        for form in (0, 1):
+            copy = list(item)
+            if form:  # three in ten words replaced, the answer kept
+                for at in rng.sample(range(len(copy) - 8), 3 * len(copy) // 10):
+                    copy[at] = rng.choice(vocabulary)
+            before = rng.randrange(200)
+            docs.append((2 * i + form, prose(before) + copy + prose(150)))
+            leaks.add((2 * i + form, k))
+    return [(i, " ".join(ws)) for i, ws in docs], [(i, " ".join(ws)) for i, ws in items], leaks
+
+
+def test_long_items_are_found(spark):
+    # a passage of 48 words holds less than least_cover of most of these
+    docs, items, leaks = long_corpus()
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in D.find_leaks(d, b).collect()} == leaks
+
+
+def test_pieces_cover_long_items():
+    rng = np.random.default_rng(2)
+    table = rng.normal(size=(50, 3)).astype(np.float32)
+    for n in (1, 48, 72, 73, 200, 311):
+        item = rng.integers(0, 50, n).tolist()
+        got = D.pieces(item, table)
+        starts = sorted({*range(0, n - 48, 12), n - 48}) if n > 72 else []
+        want = [table[item].sum(axis=0)] + [table[item[s : s + 48]].sum(axis=0) for s in starts]
+        assert np.allclose(got, want, atol=1e-3)
