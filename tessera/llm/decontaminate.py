@@ -153,7 +153,8 @@ def find_leaks(
     least 8 words longer), as a share of the item, or that of its words without the common ones if it is less; answer
     the same of its last ``answer_words`` such words, where the answer stands. Nearer passages are tried first, until one is ``verbatim``. A passage is a candidate for an item if their latent cosine is ``least_cosine`` or more and the passage holds
     ``least_cover`` of the item's latent weight, so that one shared word doesn't make one; for an item of over LONG words, of which a
-    passage can hold but a part, also if both hold for one of its pieces. From lcs >= ``verbatim`` it is a leak, from ``paraphrase`` on if the answer is there by half or more. Every passage of every
+    passage can hold but a part, also if both hold for one of its pieces. From lcs >= ``verbatim`` it is a leak, from ``paraphrase`` on if the answer is there by half or more; of an item's stretches
+    that are, the one with the highest lcs is given. Every passage of every
     text is compared with all items, in blocks of ``block_items``. Items without words match nothing; null and empty texts have none.
     Rows don't depend on each other but for the statistics: a repeated row gives its matches again; empty tables give an
     empty result; further columns are ignored. The driver holds a block's items and one matrix of its words by rank.
@@ -166,6 +167,9 @@ def find_leaks(
     out = spark.createDataFrame([], schema)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
+    def leak(lcs: float, answer: float) -> bool:
+        return lcs >= verbatim or lcs >= paraphrase and answer >= 0.5
+
     def of_block(block: Block) -> DataFrame | None:
         number, size = block.number, block.size
 
@@ -265,7 +269,7 @@ def find_leaks(
                         near.append((r + first, item_of[q], cos[r, q]))
                     r, k, cos = map(np.concatenate, zip(*near))
                     order = np.argsort(-cos, kind="stable")
-                    best: dict[int, tuple] = {}
+                    best: dict[int, tuple] = {}  # only stretches that are leaks
                     tried = set()
                     for r, k, cosine in zip(r[order].tolist(), k[order].tolist(), cos[order].tolist()):
                         if best.get(k, (0,))[0] >= verbatim or (r, k) in tried:
@@ -286,9 +290,11 @@ def find_leaks(
                                 continue
                             telling = stretch[counts[stretch]]
                             lcs = min(common_length(item, stretch) / len(item), common_length(content[k], telling) / len(content[k]))
-                            if lcs > best.get(k, (0,))[0]:
-                                best[k] = (lcs, common_length(answers[k], telling) / len(answers[k]), cosine)
-                    found += [(doc_id, items[k][0], *b) for k, b in best.items() if b[0] >= verbatim or b[0] >= paraphrase and b[1] >= 0.5]
+                            if lcs >= paraphrase and lcs > best.get(k, (0,))[0]:
+                                answer = common_length(answers[k], telling) / len(answers[k])
+                                if leak(lcs, answer):
+                                    best[k] = (lcs, answer, cosine)
+                    found += [(doc_id, items[k][0], *b) for k, b in best.items()]
                 cols = list(zip(*found)) if found else [[]] * 5
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(("doc_id", "item_id", "lcs", "answer", "cosine"), cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))})
 

@@ -104,3 +104,19 @@ def test_pieces_cover_long_items():
         starts = sorted({*range(0, n - 48, 12), n - 48}) if n > 72 else []
         want = [table[item].sum(axis=0)] + [table[item[s : s + 48]].sum(axis=0) for s in starts]
         assert np.allclose(got, want, atol=1e-3)
+
+
+def test_a_stretch_with_the_answer_counts_beside_a_nearer_one_without(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghiklmnoprst") for _ in range(rng.randint(4, 9))) for _ in range(4000)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(k, prose(40)) for k in range(20)]
+    docs, item = [(100 + i, prose(300)) for i in range(40)], items[3][1]
+    without = item[:30] + prose(10)  # lcs 0.75, no answer
+    answered = [w if at % 5 < 3 or at >= 32 else rng.choice(vocabulary) for at, w in enumerate(item)]  # lcs about 0.7, the answer whole
+    docs += [(1, prose(60) + without + prose(200)), (2, prose(60) + answered + prose(200)), (3, prose(60) + without + prose(150) + answered + prose(100)), (4, prose(60) + answered + prose(150) + without + prose(100))]
+    d = spark.createDataFrame([(i, " ".join(ws)) for i, ws in docs], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in D.find_leaks(d, b).collect()}
+    assert set(got) == {(2, 3), (3, 3), (4, 3)}
+    assert all(0.5 <= r["lcs"] < 0.75 and r["answer"] == 1 for r in got.values())
