@@ -504,7 +504,7 @@ def _(spark, d):
     import numpy as np
 
     def sims(e):
-        m = {r["label"]: np.array(r["mean"]) for r in N.mean_vector(e.where("label < 5"), ["label"], "embedding").collect()}
+        m = {r["label"]: np.array(r["mean"]) for r in N.mean_vector(e, ["label"], "embedding").collect()}
         v = np.stack([m[k] / np.linalg.norm(m[k]) for k in sorted(m)])
         return v @ v.T
 
@@ -646,7 +646,7 @@ def _(spark, d):
 def _(spark, d):
     from ..operators.models import train_skipgram
 
-    sp = train_skipgram(table(spark, d, "documents").where("lang = 'en' AND doc_id % 20 = 0"), words(), dim=16, window=5, min_count=10, epochs=1, partitions=2)
+    sp = train_skipgram(table(spark, d, "documents").where("lang = 'en'"), words(), dim=16, window=5, min_count=10, epochs=1, partitions=2)
     return N.neighbour_table(sp.select(F.col("row_idx").alias("vec_id"), F.col("vec").alias("embedding")), 5)
 
 
