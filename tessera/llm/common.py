@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..runtime import ship
+from ..runtime import scratch, ship
 
 #: What separates words in the whitespace word rule: space, tab, LF, VT, FF, CR.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -16,17 +16,8 @@ LOWER = UPPER.lower()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session has none (tests, a bare local run) one under the
-    system's temporary folder is used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = f"{tempfile.gettempdir()}/checkpoints"
-    return root.rstrip("/")
+    """The folder every executor can read, ``spark.checkpoint.dir`` of the session; see ``runtime.scratch``."""
+    return scratch(spark)
 
 
 class Stages:
@@ -41,6 +32,7 @@ class Stages:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        self.paths: list[str] = []
 
     def path(self, label: str) -> str:
         self.n += 1
@@ -49,6 +41,7 @@ class Stages:
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         path = self.path(label)
         df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessera_path = path
         return out
@@ -56,9 +49,19 @@ class Stages:
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             if path := getattr(t, "_tessera_path", None):
-                jvm = self.spark._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                self._delete(path)
+
+    def drop_others(self, *tables: DataFrame) -> None:
+        """Remove all tables but these."""
+        keep = {getattr(t, "_tessera_path", None) for t in tables}
+        for path in [p for p in self.paths if p not in keep]:
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        if path in self.paths:
+            self.paths.remove(path)
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 DataFrame operations only. Each round compares the members of a bucket with one leader, and
 members that are connected already are not compared again; what is then left of a bucket, pairs across
-groups that no round has tested, is compared in full. So the groups are exactly those
+groups, is compared in full, large buckets in parts. So the groups are exactly those
 of all linked pairs that share a bucket, while a large group of copies costs a few
 comparisons per member.
 """
@@ -53,19 +53,48 @@ def components(stages: Stages, edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
+#: Rows of a bucket that one task takes; a larger bucket is dealt to several.
+PART = 2048
+
+
+def parted(buckets: DataFrame, several: DataFrame) -> DataFrame:
+    """(bucket, node, part, parts) of the buckets in ``several`` (bucket, n): each is dealt to parts of about PART rows."""
+    rows = buckets.join(several.select("bucket", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "bucket")
+    return rows.select("bucket", "node", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int").alias("part"), "parts")
+
+
 def shared(stages: Stages, buckets: DataFrame) -> DataFrame:
-    """The rows (bucket, node) of buckets that hold at least two different nodes."""
-    several = buckets.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
-    return stages.keep(buckets.join(several, "bucket", "left_semi").distinct(), "shared")
+    """The rows of buckets that hold at least two different nodes, ``parted``; rows (bucket, node) are distinct."""
+    several = buckets.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    return stages.keep(parted(buckets, several), "shared")
+
+
+def every_part(rows: DataFrame) -> DataFrame:
+    """Rows of buckets, once for each part: to be joined by (bucket, part)."""
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
+def part_pairs(rows: DataFrame) -> DataFrame:
+    """Each row once for every part of its bucket, its own one included: x and y are the lesser and the greater of the two parts, first if its own is x."""
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return met.withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other")).withColumn("first", F.col("part") == F.col("x")).drop("part", "other", "parts")
+
+
+def all_pairs(rows: DataFrame, linked) -> DataFrame:
+    """Links (a, b) among the rows of each bucket that are of different comp: part by part, where ``linked`` (sides x and y) is tested in the join itself."""
+    met = part_pairs(rows)
+    a, b = met.alias("a"), met.alias("b")
+    on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y"))
+    once = F.when(F.col("a.x") == F.col("a.y"), F.col("a.node") < F.col("b.node")).otherwise(F.col("a.first") & ~F.col("b.first"))
+    return a.join(b, on & once & (F.col("a.comp") != F.col("b.comp")) & linked("a", "b")).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
-def link(stages: Stages, members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 6, leaders: int = 1, rest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
+def link(stages: Stages, members: DataFrame, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame], rounds: int = 6, leaders: int = 1) -> DataFrame | None:
     """(node, comp) of all nodes that a link joins to another; None if there is none.
 
     Each round compares every node of a bucket with up to ``leaders`` of its members, those that it shares most buckets with.
-    ``members`` is (bucket, node), as ``shared`` gives it; ``verify`` gets pairs (a, b), a < b, and gives those that are links.
-    What the rounds leave, rows (bucket, node, comp), goes to ``rest``, which gives edges (a, b) that connect all that is linked there;
-    without it, to ``verify`` as pairs.
+    ``members`` is as ``shared`` gives it; ``verify`` gets pairs (a, b), a < b, and gives those that are links.
+    What the rounds leave, rows (bucket, node, part, parts, comp), goes to ``rest``, which gives edges (a, b) that connect all that is linked there.
     """
     tested = links = comp = last = None
 
@@ -86,10 +115,13 @@ def link(stages: Stages, members: DataFrame, verify: Callable[[DataFrame], DataF
         comp = stages.keep(components(stages, links), "groups")
         return True
 
+    rows = None
     for k in range(rounds + 1):
-        rows = labelled()
-        open_ = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        rows = stages.keep(rows.join(open_, "bucket", "left_semi"), "open")
+        before, rows = rows, labelled()
+        several = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("parts").alias("parts")).where("lo <> hi").select("bucket", "parts")
+        rows = stages.keep(rows.join(every_part(several), ["bucket", "part"], "left_semi"), "open")
+        if before is not None:
+            stages.drop(before)
         sizes = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"))
         total, pairs = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("n2")) / 2)).first()
         if not total:
@@ -98,16 +130,15 @@ def link(stages: Stages, members: DataFrame, verify: Callable[[DataFrame], DataF
             break  # few are left, or leaders don't connect what is
         last = pairs
         draws = [F.min(F.struct(F.xxhash64("node", F.lit(k), F.lit(j)).alias("draw"), "node", "comp")).alias(f"l{j}") for j in range(leaders)]
-        leader = rows.groupBy("bucket").agg(*draws).select("bucket", F.explode(F.array_distinct(F.array(*[F.struct(f"l{j}.node", f"l{j}.comp") for j in range(leaders)]))).alias("of"))
-        with_leader = rows.join(leader.select("bucket", F.col("of.node").alias("to"), F.col("of.comp").alias("other")), "bucket").where("comp <> other")
+        leader = rows.groupBy("bucket").agg(F.max("parts").alias("parts"), *draws).select("bucket", "parts", F.explode(F.array_distinct(F.array(*[F.struct(f"l{j}.node", f"l{j}.comp") for j in range(leaders)]))).alias("of"))
+        leader = every_part(leader.select("bucket", "parts", F.col("of.node").alias("to"), F.col("of.comp").alias("other")))
+        with_leader = rows.join(leader, ["bucket", "part"]).where("comp <> other")
         counted = with_leader.groupBy("node", "to").agg(F.count(F.lit(1)).alias("n"))
         best = counted.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "to")), asc=False), 1, leaders).alias("best")).select("node", F.explode("best").alias("best"))
         if not test(best.select(F.least("node", "best.to").alias("a"), F.greatest("node", "best.to").alias("b"))) and k:
             break
-    if rest is not None:
-        more = stages.keep(rest(rows).select("a", "b"), "rest")
-        links = more if links is None else links.unionByName(more)
-        return stages.keep(components(stages, links), "groups")
-    x, y = rows.alias("x"), rows.alias("y")
-    test(x.join(y, F.col("x.bucket") == F.col("y.bucket")).where("x.node < y.node AND x.comp <> y.comp").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-    return comp
+    more = stages.keep(rest(rows).select("a", "b"), "rest")
+    if comp is None and more.isEmpty():
+        return None
+    links = more if links is None else links.unionByName(more)
+    return stages.keep(components(stages, links), "groups")

@@ -107,20 +107,29 @@ def _pairs_at_least(percent: int):
     return run
 
 
-def linked_in_blocks(rows: DataFrame, sets: DataFrame, groups: DataFrame, percent: int, most: int = 1 << 20) -> DataFrame:
-    """Edges that connect all linked nodes of each group of nodes that share buckets.
+def linked_in_blocks(rows: DataFrame, sets: DataFrame, groups: DataFrame, percent: int, most: int = 1 << 20, nodes_at_once: int = links.PART) -> DataFrame:
+    """Edges that connect all linked nodes of the rows (bucket, node, comp).
 
-    A group's nodes are dealt to blocks of about ``most`` shingles; every two blocks meet in one task, which
-    counts all its intersections by multiplying incidence matrices and gives one edge
+    A group of nodes that share buckets, directly or through others (groups: node, comp), is compared at once if it has at most ``most`` shingles and
+    ``nodes_at_once`` nodes. Of a larger one, each bucket is, dealt to blocks within these bounds, of which every two meet in
+    one task. That counts all intersections by multiplying incidence matrices and gives one edge
     per node that is linked to another, whatever the number of links.
     """
     import pyarrow as pa
 
-    nodes = rows.select("node", "comp").distinct().join(groups.withColumnRenamed("comp", "grp"), "node").join(sets.withColumnRenamed("cls", "node"), "node")
-    blocks = groups.join(sets.select(F.col("cls").alias("node"), F.length("words").alias("n")), "node").groupBy(F.col("comp").alias("grp")).agg(F.ceil(F.sum(F.col("n") / 8) / most).cast("int").alias("blocks"))
-    nodes = nodes.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    blocks = F.greatest(F.ceil(F.sum("n") / most), F.ceil(F.count(F.lit(1)) / nodes_at_once)).cast("int")
+    size = sets.select(F.col("cls").alias("node"), (F.length("words") / 8).alias("n"))
+    around = groups.withColumnRenamed("comp", "grp")
+    of_group = around.join(size, "node").groupBy("grp").agg(blocks.alias("blocks"))
+    placed = rows.select("bucket", "node", "comp").join(around.join(of_group, "grp"), "node")
+    small = placed.where("blocks = 1").select("grp", "node", "comp", "blocks").distinct()
+    large = placed.where("blocks > 1").select(F.xxhash64("bucket", F.lit(2)).alias("grp"), "node", "comp")
+    of_bucket = large.join(size, "node").groupBy("grp").agg(blocks.alias("blocks"))
+    nodes = small.unionByName(large.join(of_bucket, "grp"))
+    nodes = nodes.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     met = nodes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("grp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") == F.least("own", "other")).alias("first"), "node", "comp", "words")
+    met = met.select("grp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "comp")
+    met = met.join(sets.withColumnRenamed("cls", "node"), "node")
     met = met.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y")
 
     def edges_of(group: list[dict]) -> list[tuple[int, int]]:
@@ -142,14 +151,15 @@ def linked_in_blocks(rows: DataFrame, sets: DataFrame, groups: DataFrame, percen
             m = np.zeros((len(group), width), np.float32)
             m[doc[low:high], column[low:high] - at] = 1
             both += m @ m.T
-        both = both.astype(np.int64)
-        link = 100 * both >= percent * (size[:, None] + size[None] - both)
+        # whole numbers below 2^24 are exact here, and so is the comparison in float64, row by row
+        link = np.stack([100.0 * row >= percent * (n + size - row.astype(np.float64)) for row, n in zip(both, size)])
+        del both
         np.fill_diagonal(link, True)
         comp = np.array([r["comp"] for r in group])
         # labels spread over links and over what was connected before
         label = np.unique(comp, return_inverse=True)[1]
         while True:
-            new = np.where(link, label[None], len(group)).min(1)
+            new = np.array([label[row].min() for row in link])
             least = np.full(label.max() + 1, len(group))
             np.minimum.at(least, label, new)
             if (least[label] == label).all():
@@ -231,7 +241,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         groups = stages.keep(links.components(stages, rows.join(of, "bucket").select(F.col("node").alias("a"), "b")), "around")
         return linked_in_blocks(rows, sets, groups, percent)
 
-    comp = links.link(stages, members, verify, rounds=1, rest=rest)
+    comp = links.link(stages, members, verify, rest, rounds=1)
     if comp is None:
         root = classes.select("cls", F.col("least").alias("component_id"))
     else:
