@@ -29,8 +29,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share, ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints").rstrip("/")
+    """The folder all executors share, ``spark.checkpoint.dir``.
+
+    One of our own, under the system's temporary folder, only where that is unset and all runs on this machine;
+    on a cluster each executor would write to a disk of its own, so that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/checkpoints"
 
 
 def written(df: DataFrame, label: str = "table") -> DataFrame:
