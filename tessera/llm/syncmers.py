@@ -20,7 +20,7 @@ def anchors(text: Column) -> Column:
     """array of struct(hash, at) of every closed syncmer, ``at`` counted in words, in order.
 
     Whether a k-mer is an anchor depends on its own words alone, so that an edit moves or removes only the anchors
-    whose words it touches. A text of fewer than K words has one anchor, of all it has; one without words
+    whose words it touches. A text of fewer than K words, or none of whose k-mers is one, has one anchor, of all its words; one without words
     the hash of its characters; the empty text none.
     """
 
@@ -36,26 +36,35 @@ def anchors(text: Column) -> Column:
 
             return F.filter(F.transform(F.sequence(F.lit(0), F.size(ws) - K), at), lambda x: x.isNotNull())
 
-        return F.when(F.size(ws) >= K, let(inner, from_inner)).when(F.size(ws) > 0, F.array(F.struct(F.xxhash64(ws).alias("hash"), F.lit(0).alias("at"))))
+        all_words = F.array(F.struct(F.xxhash64(ws).alias("hash"), F.lit(0).alias("at")))
+        found = F.when(F.size(ws) >= K, let(inner, from_inner))
+        return F.when(F.size(ws) > 0, let(found, lambda a: F.when(F.size(a) > 0, a).otherwise(all_words)))
 
     whole = F.when(text != "", F.array(F.struct(F.xxhash64(text).alias("hash"), F.lit(0).alias("at")))).otherwise(F.array().cast("array<struct<hash:bigint,at:int>>"))
     return F.coalesce(let(F.regexp_extract_all(F.lower(text), F.lit(GRAINS), F.lit(0)), from_words), whole)
 
 
-def sketch(anchors_: Column, size: int) -> Column:
-    """The ``size`` least distinct hashes (32 bits): a sample of the text's anchors that is alike in all texts that share them."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(anchors_, lambda x: F.shiftright(x["hash"], 32).cast("int")))), 1, size)
+def places(anchors_: Column) -> Column:
+    """The set of a text's anchors with their places: a hash of each anchor, the next one and the words between; of a lone anchor its own.
+
+    What two texts share of it are anchors that match at the same offset as their neighbours: a shared passage
+    keeps its own wherever it stands, a chance match of one anchor has none.
+    """
+    pair = lambda a, i: F.xxhash64(a[i]["hash"], a[i + 1]["hash"], a[i + 1]["at"] - a[i]["at"])
+    return let(anchors_, lambda a: F.when(F.size(a) < 2, F.transform(a, lambda x: x["hash"])).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(a) - 2), lambda i: pair(a, i)))))
 
 
-def as_string(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
+def as_string(places_: Column, size: int) -> Column:
+    """The ``size`` least hashes of the set, 32 bits of each, which texts that share passages share, and 64 bits of the whole set; of an empty set nothing."""
+    least = F.transform(F.slice(F.array_sort(places_), 1, size), lambda x: F.lpad(F.lower(F.hex(F.shiftrightunsigned(x, 32))), 8, "0"))
+    whole = F.lpad(F.lower(F.hex(F.xxhash64(F.array_sort(places_)))), 16, "0")
+    return F.when(F.size(places_) == 0, "").otherwise(F.concat(F.array_join(least, ""), whole))
 
 
-def likeness(a: Column, b: Column, size: int) -> Column:
-    """Jaccard similarity estimated from two sketches: of the least ``size`` of both together, the part in both; 1 if both are empty."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
-    both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.size(union))
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two whole sets; 1 if both are empty."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
 def matched_offsets(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -94,7 +103,8 @@ def following(stages: Stages, ids: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, size: int = 64) -> DataFrame:
     """Each text's fingerprint, that of its edited text, and how alike they and the next document's are.
 
-    A fingerprint is the bottom ``size`` sketch of the text's closed syncmers, as hexadecimal digits. The edited text
+    Likenesses are of the whole sets of a text's closed syncmers with their places; the fingerprint strings hold the ``size`` least of them
+    and a hash of all. The edited text
     has its last floor(n_chars / 2) code points replaced by the first as many of the next document, by ascending doc_id and
     then by the text's hash (after the last: the first).
 
@@ -106,28 +116,25 @@ def fingerprints(docs: DataFrame, size: int = 64) -> DataFrame:
     stages = Stages(spark, "syncmers")
     nowhere = -(2**63)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(nowhere)).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rk", F.xxhash64("text"))
-    sizes = stages.keep(rows.groupBy("id", "rk").agg(F.max(F.length("text")).alias("n_chars")), "sizes")
-    if sizes.isEmpty():
-        return sizes.select(F.col("id").alias("doc_id"), F.col("n_chars").cast("long"), *[F.lit("").alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")], F.lit(0.0).alias("near_edited"), F.lit(0.0).alias("near_next"), F.lit(0).alias("n_anchors"))
-    order = following(stages, sizes.select("id", "rk"))
-    lengths = order.join(sizes, ["id", "rk"])
-    # from the next document's side: who comes before it, and how many characters it lends
-    lends = stages.keep(lengths.select(F.col("next_id").alias("id"), F.col("next_rk").alias("rk"), F.col("id").alias("to_id"), F.col("rk").alias("to_rk"), F.floor(F.col("n_chars") / 2).cast("int").alias("lent")), "lends")
-    # both joins are by (id, rk) and need all of these columns, so that the texts are shuffled once
-    own = rows.withColumn("a", anchors(F.col("text"))).select("id", "rk", "text", F.struct(F.size("a").alias("n"), sketch(F.col("a"), size).alias("s")).alias("f"))
-    loan = own.join(lends, ["id", "rk"]).groupBy(F.col("to_id").alias("id"), F.col("to_rk").alias("rk")).agg(F.first(F.substring("text", F.lit(1), F.col("lent"))).alias("loan"), F.first("f").alias("next_f"))
+    ids = stages.keep(rows.select("id", "rk").distinct(), "ids")
+    if ids.isEmpty():
+        return ids.select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("n_chars"), *[F.lit("").alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")], F.lit(0.0).alias("near_edited"), F.lit(0.0).alias("near_next"), F.lit(0).alias("n_anchors"))
+    order = following(stages, ids)
+    # from the next document's side: who comes before it
+    lends = stages.keep(order.select(F.col("next_id").alias("id"), F.col("next_rk").alias("rk"), F.col("id").alias("to_id"), F.col("rk").alias("to_rk")), "lends")
+    # the texts go to the document before them whole; what is made of them is larger
+    loan = rows.join(lends, ["id", "rk"]).groupBy(F.col("to_id").alias("id"), F.col("to_rk").alias("rk")).agg(F.first("text").alias("next"))
     m = F.floor(F.length("text") / 2).cast("int")
-    both = own.join(loan, ["id", "rk"])
-    both = both.select("id", F.length("text").cast("long").alias("n_chars"), F.col("f.n").alias("n_anchors"), F.col("f.s").alias("s"), F.col("next_f.s").alias("next_s"), F.concat(F.substring("text", F.lit(1), F.length("text") - m), "loan").alias("edited"))
-    both = both.select("*", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(anchors(F.col("edited")), size).alias("e"))
-    return both.select(
+    both = rows.join(loan, ["id", "rk"]).select("id", "text", "next", F.concat(F.substring("text", F.lit(1), F.length("text") - m), F.substring("next", F.lit(1), m)).alias("edited"))
+    both = both.select("id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), anchors(F.col("text")).alias("a"), anchors(F.col("next")).alias("b"), anchors(F.col("edited")).alias("e"))
+    return both.select("id", "n_chars", "edited_sha256", F.size("a").alias("n_anchors"), F.array(*[places(F.col(c)) for c in "abe"]).alias("sets")).select(
         F.when(F.col("id") != nowhere, F.col("id")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
-        as_string(F.col("s")).alias("fingerprint"),
-        as_string(F.col("e")).alias("edited_fingerprint"),
-        likeness(F.col("s"), F.col("e"), size).alias("near_edited"),
-        likeness(F.col("s"), F.col("next_s"), size).alias("near_next"),
+        as_string(F.col("sets")[0], size).alias("fingerprint"),
+        as_string(F.col("sets")[2], size).alias("edited_fingerprint"),
+        likeness(F.col("sets")[0], F.col("sets")[2]).alias("near_edited"),
+        likeness(F.col("sets")[0], F.col("sets")[1]).alias("near_next"),
         "n_anchors",
     )
 
