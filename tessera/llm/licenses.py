@@ -16,16 +16,61 @@ PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general pub
 TEMPLATES = [
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with "
+        "the software or the use or other dealings in the software",
+    ),
     ("apache", "licensed under the apache license version 2 0"),
     ("apache", "you may not use this file except in compliance with the license"),
+    (
+        "apache",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+    ),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or "
+        "at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose "
+        "see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program if not see http www gnu org licenses",
+    ),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    ),
+    (
+        "bsd",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness "
+        "for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages "
+        "including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability "
+        "whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("cc", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
 ]
 THRESHOLD = 0.8
-BLOCK, STRIDE = 64, 32
+#: Words of the least windows; they stand half a window apart.
+LEAST = 64
+
+
+def window_of(template: str) -> int:
+    """Words of the windows that a template is sought in: the least power of two from LEAST on whose half is as long as it, so that a copy is whole in one of them."""
+    w = LEAST
+    while w // 2 < len(template.split()):
+        w *= 2
+    return w
 
 
 def let(value: Column, fn) -> Column:
@@ -41,24 +86,17 @@ def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, rk, words): each line's words; a line of over 64 as windows of 64, 32 apart, which cover it."""
-    lines = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), F.explode(F.split("text", "\n")).alias("line"))
-    words = lines.select("doc_id", "rk", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
-    last = F.greatest(F.ceil((F.size("words") - BLOCK) / STRIDE), F.lit(0)).cast("int")
-    return words.select("doc_id", "rk", "words", F.explode(F.sequence(F.lit(0), last)).alias("k")).select("doc_id", "rk", F.when(F.size("words") <= BLOCK, F.col("words")).otherwise(F.slice("words", F.col("k") * STRIDE + 1, BLOCK)).alias("words"))
-
-
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Licenses that each text names or quotes.
 
-    Base: places where a phrase's words stand consecutively. Beyond that, every block
-    (a line, or windows of a long one) that holds ``threshold`` of a template's distinct words
-    gets the template's label. The join is exact: template words are ordered by
-    the number of blocks that hold them, counted over all texts; a block is a candidate if it
+    Base: places where a phrase's words stand consecutively. Beyond that, every block of the text, a window of its words wherever its lines end,
+    that holds ``threshold`` of a template's distinct words
+    gets the template's label; windows are of 64 words for templates of up to 32, twice that for up to 64 and so on, and overlap by half. The join is exact: template words are ordered by
+    the number of texts that hold them, counted over all; a block is a candidate if it
     holds one of the template's |T| - t + 1 rarest words (prefix), at least t of all template
     words (length), and if the words before and after a shared one can still add up to t
-    (position); candidates are counted in full. The templates are a fixed list.
+    (position); candidates are counted in full. The templates are a fixed list. GNU's lesser and affero notices, which
+    have nearly all words of the general one, get its label.
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: 1 if there is a base
     phrase, else the largest containment of a template that was met, else 0. Null texts
@@ -66,28 +104,39 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sets = [(i, label, sorted(set(text.split()))) for i, (label, text) in enumerate(templates)]
+    sets = [(label, window_of(text), sorted(set(text.split()))) for label, text in templates]
     vocabulary = sorted({w for _, _, t in sets for w in t})
-    count = {r["w"]: r["n"] for r in blocks(docs).select(F.explode(F.array_intersect("words", strings(vocabulary))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+    texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), words_of(F.col("text")).alias("words"))
+    count = {r["w"]: r["n"] for r in texts.select(F.explode(F.array_intersect("words", strings(vocabulary))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (count.get(w, 0), w)))}
 
     prefixes, rare = [], set()
-    for i, label, t in sets:
+    for label, width, t in sets:
         ranks, need = sorted(order[w] for w in t), math.ceil(threshold * len(t) - 1e-9)
         for at, r in enumerate(ranks[: len(ranks) - need + 1]):
-            prefixes.append((i, label, r, at, len(ranks), need, ranks))
+            prefixes.append((label, width, r, at, len(ranks), need, ranks))
             rare.add(r)
-    table = spark.createDataFrame(prefixes, "tid int, label string, rnk int, i int, n int, need int, ranks array<int>")
+    # tables of the templates' words and window widths
+    table = spark.createDataFrame(prefixes, "label string, width int, rnk int, i int, n int, need int, ranks array<int>")
+    ranked = spark.createDataFrame(list(order.items()), "word string, rnk int")
+    widths = F.array(*[F.lit(w) for w in sorted({w for _, w, _ in sets})])
     by_rank = sorted(order, key=order.get)
-    rare_words = [by_rank[r] for r in sorted(rare)]
-    rank_of = F.create_map(*[x for w, r in order.items() for x in (F.lit(w), F.lit(r))])
 
+    held = (
+        texts.where(F.arrays_overlap("words", strings([by_rank[r] for r in sorted(rare)])))
+        .select("doc_id", "rk", F.size("words").alias("size"), F.posexplode("words").alias("at", "word"))
+        .join(F.broadcast(ranked), "word")
+        .select("doc_id", "rk", "size", "at", "rnk", F.explode(widths).alias("width"))
+        .withColumn("k", F.floor(F.col("at") / (F.col("width") / 2)))
+        # the windows that a word is in, but no window that begins where the one before it has reached the end of the text
+        .select("doc_id", "rk", "width", "rnk", "size", F.explode(F.array("k", F.col("k") - 1)).alias("k"))
+        .where("k = 0 OR k > 0 AND (k + 1) * (width / 2) < size")
+        .groupBy("doc_id", "rk", "width", "k")
+        .agg(F.sort_array(F.collect_set("rnk")).alias("held"))
+    )
     candidates = (
-        blocks(docs)
-        .where(F.arrays_overlap("words", strings(rare_words)))
-        .select("doc_id", "rk", F.sort_array(F.transform(F.array_intersect("words", strings(vocabulary)), lambda w: F.try_element_at(rank_of, w))).alias("held"))
-        .select("doc_id", "rk", "held", F.posexplode("held").alias("j", "rnk"))
-        .join(F.broadcast(table), "rnk")  # as many rows as the templates' prefixes have words
+        held.select("doc_id", "rk", "width", "held", F.posexplode("held").alias("j", "rnk"))
+        .join(F.broadcast(table), ["rnk", "width"])
         .where("size(held) >= need AND least(i, j) + 1 + least(n - 1 - i, size(held) - 1 - j) >= need")
     )
     met = (
@@ -145,8 +194,8 @@ def op4_licenses(spark, sf_dir: str) -> DataFrame:
 
 
 def _templates_sql() -> str:
-    rows = ", ".join(f"({i}, '{label}', {sorted(set(text.split()))!r})" for i, (label, text) in enumerate(TEMPLATES))
-    return f"(VALUES {rows}) t(tid, label, words)"
+    rows = ", ".join(f"('{label}', {window_of(text)}, {sorted(set(text.split()))!r})" for label, text in TEMPLATES)
+    return f"(VALUES {rows}) t(label, width, words)"
 
 
 SQL = rf"""
@@ -162,15 +211,16 @@ WITH d AS (
   FROM p WHERE ws[i] = 'license' AND i > 1 AND (ws[i - 1] IN ('mit', 'apache') OR (i > 2 AND ws[i - 1] = 'public' AND ws[i - 2] = 'general'))
 ), base AS (
   SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY doc_id
-), lines AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(unnest(string_split(text, chr(10))), '{GAP}'), lambda x: x <> '') AS ws FROM d
-), windows AS (
-  SELECT doc_id, ws, unnest(range(0, CAST(greatest(ceil((len(ws) - {BLOCK}) / {STRIDE}.0), 0) AS BIGINT) + 1)) AS k FROM lines WHERE len(ws) > 0
+), t AS (
+  SELECT * FROM {_templates_sql()}
+), k AS (
+  SELECT doc_id, ws, width, unnest(range(0, CAST(greatest(ceil((len(ws) - width) / (width / 2.0)), 0) AS BIGINT) + 1)) AS k
+  FROM w, (SELECT DISTINCT width FROM t) WHERE len(ws) > 0
 ), b AS (
-  SELECT doc_id, list_distinct(ws[k * {STRIDE} + 1 : k * {STRIDE} + {BLOCK}]) AS ws FROM windows
+  SELECT doc_id, width, list_distinct(ws[k * (width // 2) + 1 : k * (width // 2) + width]) AS ws FROM k
 ), met AS (
   SELECT doc_id, max(len(list_intersect(ws, t.words)) / CAST(len(t.words) AS DOUBLE)) AS best, list(DISTINCT label) AS labels
-  FROM b, {_templates_sql()}
+  FROM b JOIN t USING (width)
   WHERE len(list_intersect(ws, t.words)) >= {THRESHOLD} * len(t.words) - 1e-9
   GROUP BY doc_id
 )
