@@ -2,60 +2,63 @@
 
 from __future__ import annotations
 
-import heapq
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import WORD, Stages
 
 
-def water_fill(sizes: list[int], weights: list[float], total: float, cap: float) -> list[float]:
-    """Shares of ``total`` by weight; shares over ``cap`` times their size stop there and the rest is reshared."""
-    out, open_ = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0]
-    left = Fraction(total)
-    while open_:
-        w = sum(Fraction(weights[i]) for i in open_)
-        over = [i for i in open_ if left * Fraction(weights[i]) / w > Fraction(cap) * sizes[i]]
-        if not over:
-            for i in open_:
-                out[i] = float(left * Fraction(weights[i]) / w)
-            break
-        for i in over:
-            out[i] = float(Fraction(cap) * sizes[i])
-            left -= Fraction(cap) * sizes[i]
-        open_ = [i for i in open_ if i not in set(over)]
-    return out
+def seats(share: Column) -> Column:
+    """Seats of a party whose weight is ``share`` times the divisor: highest quotients share / (2k + 1) above one half, so that a quotient of exactly one half gets none.
+
+    All parties that use one divisor have what highest quotients give them of the seats they have together.
+    """
+    return F.ceil(share - 0.5)
+
 
+def numbered(stages: Stages, sources: DataFrame) -> DataFrame:
+    """The sources with their ``at``, from 0 by code point, null last: dealt out by range, numbered within their part. The driver holds a row per part."""
+    parts = max(1, int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    last = F.col("source").isNull()
+    placed = stages.keep(sources.repartitionByRange(parts, last, "source").withColumn("part", F.spark_partition_id()), "placed")
+    before, seen = [], 0
+    for r in sorted(placed.groupBy("part").count().collect()):
+        before.append((r["part"], seen))
+        seen += r["count"]
+    table = sources.sparkSession.createDataFrame(before, "part int, before long")
+    order = W.partitionBy("part").orderBy(last, "source")
+    return placed.withColumn("row", F.row_number().over(order)).join(F.broadcast(table), "part").select("source", "source_size", (F.col("row") - 1 + F.col("before")).alias("at"))
 
-def sainte_lague(weights: list[float], seats: int) -> list[int]:
-    """Seats by highest quotients w / (2k + 1); equal quotients go to the earlier party.
 
-    A divisor found by bisection hands out all but the last few seats at once,
-    so that the cost doesn't grow with their number.
+def water_fill(sources: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
+    """The sources (source, source_size, at) with ``target``: by weight they share ``share`` times all sizes; what is over ``cap`` times a source's size is reshared.
+
+    A source is over if the words per unit of weight are more than ``cap`` times its size by its weight. They grow from round to round and
+    follow from sums over the sources, exact fractions, of which the driver holds one row per weight.
     """
-    total = sum(weights)
-    if seats <= 0 or total <= 0:
-        return [0] * len(weights)
-
-    def given(d: float) -> list[int]:  # quotients that are surely above d
-        return [max(0, int((w / d + 1) / 2 - 1e-9)) for w in weights]
-
-    low, high = total / (4.0 * seats + 4 * len(weights) + 4), 2 * max(weights) + 1
-    for _ in range(200):
-        mid = (low + high) / 2
-        if sum(given(mid)) > seats:
-            low = mid
-        else:
-            high = mid
-    out = given(high)
-    queue = [(-w / (2 * k + 1), i) for i, (w, k) in enumerate(zip(weights, out)) if w > 0]
-    heapq.heapify(queue)
-    for _ in range(seats - sum(out)):
-        _, i = heapq.heappop(queue)
-        out[i] += 1
-        heapq.heappush(queue, (-weights[i] / (2 * out[i] + 1), i))
-    return out
+    k = len(weights)
+    total = sources.agg(F.sum("source_size")).first()[0] or 0
+    kind = F.pmod("at", F.lit(k)).cast("int")
+    most = [-1] * k  # for each weight, the largest size that is over so far
+
+    def over() -> Column:
+        return F.col("source_size") <= F.element_at(F.array(*[F.lit(x).cast("long") for x in most]), kind + 1)
+
+    while True:
+        left, weight = Fraction(share) * total, Fraction(0)
+        for r in sources.where("source_size > 0").groupBy(kind.alias("kind")).agg(F.sum(F.when(over(), F.col("source_size"))).alias("full"), F.sum(F.when(over(), 0).otherwise(1)).alias("open")).collect():
+            left -= Fraction(cap) * (r["full"] or 0)
+            weight += Fraction(weights[r["kind"]]) * r["open"]
+        rate = left / weight if weight else Fraction(0)
+        # strictly over: rate * weight > cap * size
+        now = [max(m, -int(-rate * Fraction(w) / Fraction(cap) // 1) - 1) if weight else m for m, w in zip(most, weights)]
+        changed = [F.sum(F.when((kind == i) & (F.col("source_size") > m) & (F.col("source_size") <= n), 1)) for i, (m, n) in enumerate(zip(most, now))]
+        if not any(sources.where("source_size > 0").agg(*[c.alias(f"c{i}") for i, c in enumerate(changed)]).first()):
+            break
+        most = now
+    per_kind = F.element_at(F.array(*[F.lit(float(rate * Fraction(w))) for w in weights]), kind + 1)
+    return sources.withColumn("target", F.when(F.col("source_size") == 0, 0.0).when(over(), F.col("source_size") * float(cap)).otherwise(per_kind))
 
 
 def mix(
@@ -64,24 +67,24 @@ def mix(
     share: float = 1.5,
     cap: float = 2.0,
     block_words: int = 64,
+    blocks_per_source: int = 2048,
     blocks_per_shard: int = 20_000,
-    most_shards: int = 4096,
     seed: int = 7,
 ) -> DataFrame:
     """How many words of each document a mix of all sources takes.
 
     Sizes are word counts (null text: 0). The sources, by code point and null
     last, have ``weights`` in turn and share ``share`` times all words, at most
-    ``cap`` times their own. The total in blocks of ``block_words`` (fewer in
-    tiny inputs, so that each source still gets thousands of quotients) is
-    apportioned to the sources by Sainte-Laguë, and each source's blocks to its
-    shards by the same rule; a shard repeats all its documents as often as its
+    ``cap`` times their own. A source's blocks have its size by ``blocks_per_source``, rounded down, but at least one and at most
+    ``block_words`` words. Its documents are dealt to shards of about ``blocks_per_shard`` blocks, and each shard gets
+    blocks by Sainte-Laguë, its weight being its part of the source's target: the divisor is one
+    block for all, so that quotas need no common table. A shard repeats all its documents as often as its
     quota allows and fills the rest with blocks in seeded hash order.
 
     Returns doc_id, source, copy, size, source_size, target, taken. Repeated rows
     are told apart by ``copy``; null ids and sources are groups as any other; an empty
-    table gives an empty result; further columns are ignored. The driver holds
-    one row per source and at most ``most_shards`` per source; no window spans more than a shard.
+    table gives an empty result; further columns are ignored. No table of sources or shards
+    comes to the driver, and no window spans more than a shard.
     """
     spark = docs.sparkSession
     stages = Stages(spark, "mix")
@@ -91,45 +94,34 @@ def mix(
         .agg(F.count(F.lit(1)).alias("copies"))
     )
     rows = stages.keep(rows, "sizes")
-    sources = [(r["source"], int(r["n"])) for r in rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n")).collect()]
-    sources.sort(key=lambda x: (x[0] is None, x[0] or ""))
-    sizes = [n for _, n in sources]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], Fraction(share) * sum(sizes), cap)
-    block = max(1, min(block_words, int(sum(targets)) // (4096 * max(1, len(sources)))))
-    quotas = sainte_lague(targets, round(sum(targets) / block))
-    shards = [max(1, min(most_shards, -(-n // (block * blocks_per_shard)))) for n in sizes]
-
-    listed = [(i, s, n, t, m) for i, ((s, n), t, m) in enumerate(zip(sources, targets, shards))]
-    table = spark.createDataFrame(listed, "src int, source string, source_size long, target double, shards int")
+    sources = stages.keep(numbered(stages, rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))), "sources")
+    table = water_fill(sources, weights, share, cap)
+    table = table.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("source_size") / blocks_per_source))).cast("int"))
+    table = stages.keep(table.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / (F.col("block") * blocks_per_shard)))), "targets").withColumnRenamed("source", "name")
+
     copy = (
-        rows.join(table, rows["source"].eqNullSafe(table["source"]))
-        .select("doc_id", rows["source"], "size", "source_size", "target", "src", "shards", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-        .withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", "copy", F.lit(seed)), F.col("shards")).cast("int"))
+        rows.join(table, F.col("source").eqNullSafe(F.col("name")))
+        .select("doc_id", "source", "at", "size", "source_size", "target", "block", "shards", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+        .withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", "copy", F.lit(seed)), F.col("shards")))
     )
-    held: list[list[tuple[int, int]]] = [[] for _ in sources]
-    for r in copy.groupBy("src", "shard").agg(F.sum("size").alias("n")).collect():
-        held[r["src"]].append((r["shard"], int(r["n"])))
-    plan = []
-    for i, own in enumerate(map(sorted, held)):
-        for (s, n), q in zip(own, sainte_lague([float(n) for _, n in own], quotas[i])):
-            words = min(q * block, int(cap * n))
-            whole = words // n if n else 0
-            plan.append((i, s, whole, words - whole * n))
-    part = spark.createDataFrame(plan, "src int, shard int, whole long, rest long")
+    held = copy.groupBy("at", "shard").agg(F.sum("size").alias("n"), F.max("target").alias("target"), F.max("source_size").alias("whole"), F.max("block").alias("block"))
+    words = F.least(seats(F.col("target") * (F.col("n") / F.col("whole")) / F.col("block")) * F.col("block"), F.floor(F.col("n") * cap))
+    part = held.withColumn("words", F.when(F.col("n") > 0, words).otherwise(0)).select("at", "shard", F.when(F.col("n") > 0, F.floor(F.col("words") / F.col("n"))).otherwise(0).alias("times"), "words", "n")
+    part = stages.keep(part.select("at", "shard", "times", (F.col("words") - F.col("times") * F.col("n")).alias("rest")), "quotas")
     blocks = (
-        copy.join(part, ["src", "shard"])
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / block) - 1, F.lit(0)).cast("int"))))
-        .withColumn("words", F.least(F.lit(block), F.col("size") - F.col("block") * block))
+        copy.join(part, ["at", "shard"])
+        .withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / F.col("block")) - 1, F.lit(0)).cast("int"))))
+        .withColumn("words", F.least(F.col("block"), F.col("size") - F.col("k") * F.col("block")))
     )
     # the draw is by hash; a block is taken if most of it lies below the quota
-    order = W.partitionBy("src", "shard").orderBy(F.xxhash64("doc_id", "size", "copy", "block", F.lit(seed + 1)), "doc_id", "size", "copy", "block")
+    order = W.partitionBy("at", "shard").orderBy(F.xxhash64("doc_id", "size", "copy", "k", F.lit(seed + 1)), "doc_id", "size", "copy", "k")
     upto = F.sum("words").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
     return (
         blocks.withColumn("upto", upto)
         .withColumn("got", F.when(2 * F.col("upto") - F.col("words") < 2 * F.col("rest"), F.col("words")).otherwise(0))
-        .groupBy("src", "shard", "doc_id", "source", "copy", "size", "source_size", "target", "whole")
+        .groupBy("at", "shard", "doc_id", "source", "copy", "size", "source_size", "target", "times")
         .agg(F.sum("got").alias("got"))
-        .select("doc_id", "source", "copy", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("got")).cast("long").alias("taken"))
+        .select("doc_id", "source", "copy", "size", "source_size", "target", (F.col("times") * F.col("size") + F.col("got")).cast("long").alias("taken"))
     )
 
 

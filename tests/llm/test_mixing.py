@@ -2,6 +2,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 from tessera.llm import mixing as M
 
 
@@ -13,16 +14,49 @@ def by_quotients(weights, seats):
     return out
 
 
+def by_weight(sizes, weights, total, cap):
+    """Targets round by round, as the rule is stated."""
+    out, open_, left = [Fraction(0)] * len(sizes), [i for i, n in enumerate(sizes) if n], Fraction(total)
+    while open_:
+        unit = left / sum(Fraction(weights[i % len(weights)]) for i in open_)
+        over = [i for i in open_ if unit * Fraction(weights[i % len(weights)]) > Fraction(cap) * sizes[i]]
+        if not over:
+            for i in open_:
+                out[i] = unit * Fraction(weights[i % len(weights)])
+            break
+        for i in over:
+            out[i] = Fraction(cap) * sizes[i]
+        left -= sum(out[i] for i in over)
+        open_ = [i for i in open_ if i not in over]
+    return list(map(float, out))
+
+
 @pytest.mark.parametrize("weights", [[5.0, 2.0, 1.0], [1.0, 1.0, 1.0], [100.0, 1.0, 0.0, 3.5], [7.0]])
-def test_seats_are_those_of_the_highest_quotients(weights):
-    for seats in (0, 1, 2, 5, 17, 100, 333):
-        assert M.sainte_lague(weights, seats) == by_quotients(weights, seats)
+def test_seats_are_those_of_the_highest_quotients(spark, weights):
+    for divisor in (0.3, 0.7, 1.0, 1.9, 6.0):
+        df = spark.createDataFrame([(i, w / divisor) for i, w in enumerate(weights)], "i int, share double")
+        got = [int(r["n"]) for r in df.select("i", M.seats(F.col("share")).alias("n")).orderBy("i").collect()]
+        assert got == by_quotients(weights, sum(got))
+
+
+def test_water_fill(spark):
+    import random
 
+    from tessera.llm.common import Stages
 
-def test_water_fill():
-    assert M.water_fill([100, 100, 100], [5, 2, 1], 450, 2) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
-    assert M.water_fill([0, 10], [5, 2], 15, 2) == [0.0, 15.0]
-    assert M.water_fill([], [], 0, 2) == []
+    rng = random.Random(3)
+    for sizes in ([100, 100, 100], [0, 10], [7], [rng.randint(0, 10 ** rng.randint(1, 6)) for _ in range(40)]):
+        names = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(len(sizes) - 1)] + [None]
+        df = spark.createDataFrame(list(zip(names, sizes)), "source string, source_size long").repartition(3)
+        got = {r["source"]: r["target"] for r in M.water_fill(M.numbered(Stages(spark, "t"), df), (5, 2, 1), 1.5, 2).collect()}
+        assert [got[n] for n in names] == pytest.approx(by_weight(sizes, (5, 2, 1), 1.5 * sum(sizes), 2))
+
+
+@pytest.mark.parametrize("n", [2048 * 2 - 1, 2048 * 2, 2048 * 64, 2048 * 64 + 5000])
+def test_block_sizes_at_their_steps(spark, n):
+    rows = [(i, " ".join(["w"] * 61), s) for s, m in (("a", n), ("b", n // 3), ("c", 300)) for i in range(m // 61)]
+    got = M.mix(spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "doc_id long, text string, source string"), blocks_per_shard=500).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= max(33, 0.02 * r["target"]) for r in got), got
 
 
 def test_mix_meets_targets_and_reruns_agree(spark):
@@ -39,7 +73,7 @@ def test_mix_meets_targets_and_reruns_agree(spark):
         taken[r["source"]] += r["taken"]
         target[r["source"]] = r["target"]
     names = sorted(total, key=lambda s: (s is None, s or ""))
-    want = M.water_fill([total[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5 * sum(total.values()), 2)
+    want = by_weight([total[s] for s in names], (5, 2, 1), 1.5 * sum(total.values()), 2)
     assert [target[s] for s in names] == pytest.approx(want)
     assert all(r["source_size"] == total[r["source"]] for r in got)
     for s in names:
@@ -48,3 +82,10 @@ def test_mix_meets_targets_and_reruns_agree(spark):
 
 def test_empty(spark):
     assert M.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_one_very_long_document_and_ties(spark):
+    rows = [(1, "w " * 300_000, "a"), (2, "w " * 300_000, "b")] + [(7, "x y", "c")] * 50
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows) and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    assert sum(r["taken"] for r in got) == pytest.approx(sum({r["source"]: r["target"] for r in got}.values()), abs=64)
