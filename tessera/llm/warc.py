@@ -17,15 +17,16 @@ DICTIONARY_MAGIC = 0x184D2A5D  # the skippable frame that holds the dictionary
 FILLER_MAGIC = 0x184D2A50
 FRAME_MAGIC = 0xFD2FB528
 
-#: The writer ends each row with a line feed; this opens a skippable frame of one byte, which is that line feed.
+#: The writer ends each row, a chunk of frames, with a line feed; this opens a skippable frame of one byte, which is that line feed.
 FILLER = struct.pack("<II", FILLER_MAGIC, 1)
 
-PAYLOAD_AT = re.compile(rb"\r\n\r\n")
+INFO = b"WARC/1.1\r\nWARC-Type: warcinfo\r\n"
 
 
-def record(page_id: int | None, url: bytes | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def record(page_id: int | None, url: bytes | str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
     """One WARC/1.1 record; a revisit holds no payload, only its digest, length and what it refers to."""
-    at = re.sub(rb"[\x00-\x20\x7f]", lambda m: b"%%%02X" % m[0][0], url or b"") or b"urn:none"
+    url = url.encode() if isinstance(url, str) else url or b""
+    at = re.sub(rb"[\x00-\x20\x7f]", lambda m: b"%%%02X" % m[0][0], url) or b"urn:none"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     body = http if revisit else http + payload
     head = [
@@ -61,14 +62,20 @@ def parse_record(data: bytes) -> dict:
     return {"page_id": page(at[b"WARC-Record-ID"]), "url": at[b"WARC-Target-URI"].decode("utf-8", "replace"), "payload": None if revisit else payload, "payload_bytes": size, "payload_digest": digest, "record_type": "revisit" if revisit else "response", "refers_to": page(at.get(b"WARC-Refers-To"))}
 
 
+def warcinfo() -> bytes:
+    """The record that tells what an archive is."""
+    body = b"software: tessera\r\nformat: WARC File Format 1.1\r\n"
+    head = [b"WARC/1.1", b"WARC-Type: warcinfo", b"WARC-Record-ID: <urn:archive:info>", b"WARC-Date: 1970-01-01T00:00:00Z", b"Content-Type: application/warc-fields", b"Content-Length: %d" % len(body)]
+    return b"\r\n".join(head) + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
 def dictionary(records: list[bytes], size: int) -> bytes:
-    """Trained on the records given; empty where they are too few or too small to train on."""
-    if len(records) < 16 or sum(map(len, records)) < 8 * 1024:
-        return b""
+    """Trained on the records given; where they are too few or too small for that, their bytes as they are."""
+    whole = b"".join(records)
     try:
-        return zstandard.train_dictionary(min(size, sum(map(len, records)) // 8), records, k=256, d=8).as_bytes()
+        return zstandard.train_dictionary(max(256, min(size, len(whole) // 8)), records, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return whole[:size]
 
 
 def frame_end(data: memoryview, at: int) -> int:
@@ -89,7 +96,7 @@ def frame_end(data: memoryview, at: int) -> int:
     return at + 4 * (d >> 2 & 1)
 
 
-def read_archive(data: bytes) -> Iterator[bytes]:
+def read_archive(data) -> Iterator[bytes]:
     """The records of an archive, in order."""
     view, at, one = memoryview(data), 0, None
     while at < len(view):
@@ -105,47 +112,61 @@ def read_archive(data: bytes) -> Iterator[bytes]:
         at = end
 
 
-def write_archives(pages: DataFrame, path: str, sample_bytes: int = 4 << 20, dict_bytes: int = 64 << 10, level: int = 3) -> None:
-    """Write pages (page_id, url, payload, digest, refers_to, revisit) as one archive per partition.
+def sample_records(pages: DataFrame, records: int = 512, slice_bytes: int = 16 << 10) -> list[bytes]:
+    """Records of up to ``records`` different payloads, drawn by a seeded hash from all of them, and of longer ones ``slice_bytes`` at a place drawn likewise."""
+    draw = F.xxhash64("digest", F.lit(19))
+    drawn = pages.select("digest", draw.alias("draw")).distinct().orderBy("draw", "digest").limit(records)
+    at = F.pmod(F.xxhash64("digest", F.lit(23)), F.greatest(F.length("payload") - slice_bytes, F.lit(0)) + 1).cast("int") + 1
+    # as many rows as records
+    kept = pages.join(F.broadcast(drawn.select("digest")), "digest").select("digest", "page_id", "url", F.substring("payload", at, F.lit(slice_bytes)).alias("part"))
+    rows = kept.groupBy("digest").agg(F.min(F.struct("page_id", "url", "part")).alias("r")).orderBy("digest").collect()
+    return [record(r["r"]["page_id"], r["r"]["url"], bytes(r["r"]["part"]), r["digest"], None, False) for r in rows]
+
+
+def write_archives(pages: DataFrame, path: str, dict_bytes: int = 64 << 10, level: int = 3, chunk_bytes: int = 4 << 20, chunks: int = 64) -> None:
+    """Write pages (page_id, url, payload, digest, refers_to, revisit) as archives of up to ``chunks`` chunks of records, of about ``chunk_bytes`` each or one larger record.
 
-    An archive begins with a skippable frame that holds its dictionary, trained on
-    its own first ``sample_bytes`` of records (a bound on memory; every record is
-    written whatever the sample holds); then follows a frame for each record. Spark's
-    text writer puts the bytes down, so that any store it knows will do, and a task
-    that is run again replaces its archive.
+    Each archive begins with a skippable frame that holds the dictionary, trained on a sample of all records
+    (``sample_records``, a bound on memory; every record is written whatever the sample holds); then follows a warcinfo record and a frame for each
+    record. Spark's text writer puts the bytes down, a row a chunk, so that any store it knows will do, and a task
+    that is run again replaces its archives, which are then named ``.warc.zst``.
     """
+    import pyarrow as pa
+
+    spark = pages.sparkSession
+    trained = dictionary(sample_records(pages), dict_bytes)
 
     def archive(batches):
-        waiting, held, one = [], 0, None
+        one = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(trained), write_checksum=True)
+        lead = struct.pack("<II", DICTIONARY_MAGIC, len(trained)) + trained + one.compress(warcinfo())
+        waiting, held, written = [], 0, 0
 
-        def begin():
-            trained = dictionary(waiting, dict_bytes)
-            return trained, zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None, write_checksum=True)
+        def chunk():
+            nonlocal waiting, held, written
+            data = b"".join(([] if written % chunks else [lead]) + waiting) + FILLER
+            waiting, held, written = [], 0, written + 1
+            return pa.RecordBatch.from_pydict({"frames": pa.array([data], pa.binary())})
 
         for batch in batches:
-            out = []
             for row in batch.to_pylist():
-                data = record(row["page_id"], row["url"], row["payload"] or b"", row["digest"], row["refers_to"], row["revisit"])
-                if one is None:
-                    waiting.append(data)
-                    held += len(data)
-                    if held >= sample_bytes:
-                        trained, one = begin()
-                        out += [struct.pack("<II", DICTIONARY_MAGIC, len(trained)) + trained] * bool(trained) + [one.compress(x) for x in waiting]
-                        waiting = []
-                else:
-                    out.append(one.compress(data))
-            if out:
-                yield pa.RecordBatch.from_pydict({"frame": pa.array([x + FILLER for x in out], pa.binary())})
+                data = one.compress(record(row["page_id"], row["url"], row["payload"] or b"", row["digest"], row["refers_to"], row["revisit"]))
+                if waiting and held + len(data) > chunk_bytes:
+                    yield chunk()
+                waiting.append(data)
+                held += len(data)
         if waiting:
-            trained, one = begin()
-            out = [struct.pack("<II", DICTIONARY_MAGIC, len(trained)) + trained] * bool(trained) + [one.compress(x) for x in waiting]
-            yield pa.RecordBatch.from_pydict({"frame": pa.array([x + FILLER for x in out], pa.binary())})
-
-    import pyarrow as pa
+            yield chunk()
 
-    frames = pages.select("page_id", "url", "payload", "digest", "refers_to", "revisit").mapInArrow(archive, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("compression", "none").text(path)
+    frames = pages.select("page_id", "url", "payload", "digest", "refers_to", "revisit").mapInArrow(archive, "frames binary")
+    # the writer begins a new file after so many rows, where the next lead is
+    frames.select(F.col("frames").cast("string").alias("value")).write.option("compression", "none").option("maxRecordsPerFile", chunks).text(path)
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.listStatus(folder):
+        name = f.getPath().getName()
+        if name.endswith(".txt") and not fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(folder, name.removesuffix(".txt") + ".warc.zst")):
+            raise OSError(f"could not rename {name}")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -161,15 +182,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for data in batch.column(0):
                 rows = []
-                for x in read_archive(data.as_py()):
+                held = 0
+                for x in read_archive(data.as_buffer()):
+                    if x.startswith(INFO):
+                        continue
                     rows.append(parse_record(x))
-                    if len(rows) == 256:
+                    held += len(x)
+                    if held >= 8 << 20:
                         yield pa.RecordBatch.from_pylist(rows, kinds)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("content")
     return files.mapInArrow(records, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
@@ -180,7 +205,7 @@ def archive(pages: DataFrame, path: str | None = None, least_bytes: int = 100) -
     ``least_bytes`` or more, that with the smallest page_id is a response and the
     others are revisits of it; shorter ones are all responses. Repeated rows of that
     smallest id are responses too; a null id is never the smallest unless all are null.
-    An empty table gives no archive and an empty result; further columns are ignored.
+    An empty table gives no archives and an empty result; further columns are ignored.
     """
     spark = pages.sparkSession
     stages = Stages(spark, "warc")
