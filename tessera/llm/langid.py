@@ -82,7 +82,7 @@ def decode(model, x: np.ndarray):
 def identify(docs: DataFrame, most_rows: int = 6000) -> DataFrame:
     """The language of every whole text.
 
-    The classifiers are fitted on the driver to at most about ``most_rows`` rows that have a lang
+    The classifiers are fitted on the driver to at most ``most_rows`` rows that have a lang
     and aren't held out, drawn by hash and alike for all languages. Returns doc_id, held_out,
     lang_pred, score, ambiguous. ``und`` with score 0 stands for texts that are null or have no
     letter, and for all texts where nothing could be learned. Rows don't depend on each other: repeated rows give equal rows, an
@@ -98,7 +98,7 @@ def identify(docs: DataFrame, most_rows: int = 6000) -> DataFrame:
             got = [features(x) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"x": pa.array([None if v is None else v.tobytes() for v in got], pa.binary()), "lang": batch.column(1)})
 
-    sample = bounded_sample(known, "lang", most_rows).select("text", "lang").mapInArrow(as_features, "x binary, lang string").where("x IS NOT NULL").toArrow()
+    sample = bounded_sample(known, "lang", most_rows, "text").select("text", "lang").mapInArrow(as_features, "x binary, lang string").where("x IS NOT NULL").toArrow()
     names = sorted(set(sample.column("lang").to_pylist()))
     model = None
     if names:

@@ -95,7 +95,7 @@ class Machine:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000) -> Machine | None:
-    """A machine fitted on the driver to at most about ``most_rows`` labelled rows that aren't held out; None without any.
+    """A machine fitted on the driver to at most ``most_rows`` labelled rows that aren't held out; None without any.
 
     Rows with a null id or label are passed over, as are repeats of an id in the labels.
     """
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000) -> Machine |
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "quality": batch.column(1), "x": pa.array([features(t).tobytes() for t in batch.column(2).to_pylist()], pa.binary())})
 
-    # of most_rows rows, whatever the input's size; repeats of a document's row count once
+    # most_rows rows at most, whatever the input's size; repeats of a document's row count once
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "quality").agg(F.max("text").alias("text"))
     got = rows.mapInArrow(as_features, "doc_id long, quality int, x binary").toArrow().to_pylist()
     if not got:

@@ -69,5 +69,9 @@ def test_quality_edge_cases(spark):
 
 def test_samples_are_bounded(spark):
     rows = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 100 == 0).cast("int").alias("y"))
-    n = {r["y"]: r["count"] for r in bounded_sample(rows, "y", 400).groupBy("y").count().collect()}
-    assert 150 < n[0] < 250 and n[1] == 200
+    hot = spark.range(15_000).select(F.lit(3).cast("long").alias("doc_id"), F.lit(1).alias("y"))
+    got = bounded_sample(rows.unionByName(hot), "y", 400).collect()
+    n = {y: len({r["doc_id"] for r in got if r["y"] == y}) for y in (0, 1)}
+    assert n[0] == 200 and 1 <= n[1] <= 200 and len(got) == sum(n.values())
+    many = rows.select("doc_id", F.col("doc_id").alias("y"))
+    assert bounded_sample(many, "y", 50).count() <= 50
