@@ -9,76 +9,91 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions import vectors as V
 from ..runtime import ship
 
-#: Above this many candidate bytes the candidates are taken in slices, one pass over the queries each.
-CANDIDATE_BYTES = 256 << 20
-
-
-def _slices(candidates: DataFrame, id_col: str, vec_col: str):
-    """Candidates as (ids, matrix), at most CANDIDATE_BYTES at once, in order of id."""
-    spark = candidates.sparkSession
-    stats = candidates.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
-    if not stats["n"]:
-        return
-    per = max(1, CANDIDATE_BYTES // (4 * stats["d"]))
-    cuts = [None]
-    if stats["n"] > per:
-        k = -(-stats["n"] // per)
-        cuts = [None, *candidates.approxQuantile(id_col, [i / k for i in range(1, k)], 0.001)]
-    for low, high in zip(cuts, [*cuts[1:], None]):
-        part = candidates
-        part = part if low is None else part.where(F.col(id_col) > low)
-        part = part if high is None else part.where(F.col(id_col) <= high)
-        rows = part.select(id_col, vec_col).toPandas().sort_values(id_col)
-        if len(rows):
-            yield rows[id_col].to_numpy(), np.stack(rows[vec_col].to_numpy()).astype(np.float64)
-    del spark
-
-
-def block_topk(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", exclude_self: bool = False, penalty: dict[int, float] | None = None, scale: float = 1.0, unit: bool = True) -> DataFrame:
-    """(q, c, score, rnk): each query's k best candidates by ``scale`` * cosine - penalty; ties go to the lower id.
-
-    Blocks of queries are multiplied with the broadcast candidates, in slices of CANDIDATE_BYTES where there
-    are more; then the slices' bests are merged.
+#: Bytes of vectors that a task holds of each side, and of a packed row of them.
+SIDE_BYTES, BLOCK_BYTES = 96 << 20, 4 << 20
+
+
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n > 0, n, 1)
+
+
+def _packed(df: DataFrame, id_col: str, vec_col: str, unit: bool, penalty: str | None = None) -> DataFrame:
+    """The table as rows of many vectors each: ids, vectors and penalties as bytes."""
+
+    def pack(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            m = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+            m = _unit_rows(m) if unit else m
+            ids, less = pdf["id"].to_numpy(np.int64), pdf["less"].to_numpy(np.float64)
+            per = max(1, BLOCK_BYTES // (8 * m.shape[1]))
+            cuts = range(0, len(m), per)
+            yield pd.DataFrame({"ids": [ids[i : i + per].tobytes() for i in cuts], "m": [m[i : i + per].tobytes() for i in cuts], "less": [less[i : i + per].tobytes() for i in cuts]})
+
+    less = F.col(penalty).cast("double") if penalty else F.lit(0.0)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), less.alias("less")).mapInPandas(pack, "ids binary, m binary, less binary")
+
+
+def _unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, vectors, penalties) of packed rows, in order of id."""
+    ids = np.frombuffer(b"".join(pdf["ids"]), np.int64)
+    order = np.argsort(ids, kind="stable")
+    return ids[order], np.frombuffer(b"".join(pdf["m"]), np.float64).reshape(len(ids), -1)[order], np.frombuffer(b"".join(pdf["less"]), np.float64)[order]
+
+
+def _met(queries: DataFrame, candidates: DataFrame, fn, schema: str, id_col: str, vec_col: str, unit: bool, penalty: str | None = None) -> tuple[DataFrame, int]:
+    """``fn`` of (query ids, vectors, candidate ids, vectors, penalties) for all parts of the queries with all slices of the candidates, and the number of slices.
+
+    Both are packed and dealt out on executors, SIDE_BYTES of a side at most to a task, so that no vector passes through the driver.
+    """
+    spark = queries.sparkSession
+    ship(spark)
+    size = lambda t: t.agg(F.coalesce(F.sum(F.lit(8) * F.size(vec_col).cast("long")), F.lit(0)), F.count(F.lit(1))).first()
+    (q_bytes, q_rows), (c_bytes, _) = size(queries), size(candidates)
+    slices = max(1, -(-c_bytes // SIDE_BYTES))
+    parts = max(-(-q_bytes // SIDE_BYTES), min(spark.sparkContext.defaultParallelism, -(-q_rows // 256)), 1)
+
+    def run(key, q, c):
+        if not len(q) or not len(c):
+            return pd.DataFrame(columns=names)
+        (ids, m, _), (others, n, less) = _unpacked(q), _unpacked(c)
+        step = max(1, SIDE_BYTES // (8 * len(others)))
+        return pd.concat([fn(ids[i : i + step], m[i : i + step], others, n, less) for i in range(0, len(ids), step)])
+
+    names = [x.split()[0] for x in schema.split(", ")]
+    # few rows of a query block each, so that they are dealt evenly
+    spread = queries.repartition(parts, id_col) if parts > 1 else queries
+    q = _packed(spread, id_col, vec_col, unit).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(parts))).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    c = _packed(candidates, id_col, vec_col, unit, penalty).withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return q.groupBy("slice", "part").cogroup(c.groupBy("slice", "part")).applyInPandas(run, schema), slices
+
+
+def block_topk(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", exclude_self: bool = False, penalty: str | None = None, scale: float = 1.0, unit: bool = True) -> DataFrame:
+    """(q, c, score, rnk): each query's k best candidates by ``scale`` * cosine - penalty (a column of the candidates); ties go to the lower id.
+
+    Parts of the queries are multiplied with slices of the candidates; where there are several slices
+    their bests are merged.
     """
-    ship(queries.sparkSession)
-    out = None
-
-    def unit_rows(m):
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(n > 0, n, 1)
-
-    for ids, matrix in _slices(candidates, id_col, vec_col):
-        matrix = unit_rows(matrix) if unit else matrix
-        less = np.array([penalty.get(int(i), 0.0) for i in ids]) if penalty else None
-
-        def run(batches, ids=ids, matrix=matrix, less=less):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                q = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-                s = scale * ((unit_rows(q) if unit else q) @ matrix.T)
-                if less is not None:
-                    s = s - less
-                if exclude_self:
-                    s[pdf["q"].to_numpy()[:, None] == ids[None]] = -np.inf
-                m = min(k, s.shape[1])
-                # rounding makes equal what differs in the last bits only, so that ties go by id
-                r = np.round(s, 12)
-                kth = -np.partition(-r, m - 1, axis=1)[:, m - 1]
-                rows = []
-                for i in range(len(r)):
-                    near = np.flatnonzero(r[i] >= kth[i])
-                    near = near[np.lexsort((ids[near], -r[i][near]))][:m]
-                    near = near[np.isfinite(r[i][near])]
-                    rows.append(pd.DataFrame({"q": pdf["q"].iloc[i], "c": ids[near], "score": s[i][near], "rnk": np.arange(1, len(near) + 1)}))
-                yield pd.concat(rows).astype({"q": "int64", "c": "int64", "rnk": "int32"})
-
-        part = queries.select(F.col(id_col).cast("long").alias("q"), F.col(vec_col).alias("v")).mapInPandas(run, "q long, c long, score double, rnk int")
-        out = part if out is None else out.unionByName(part)
-        first = out is part
-    if out is None:
-        return queries.sparkSession.createDataFrame([], "q long, c long, score double, rnk int")
-    if first:
+
+    def best(ids, m, others, n, less):
+        s = scale * (m @ n.T) - less[None]
+        if exclude_self:
+            s[ids[:, None] == others[None]] = -np.inf
+        top = min(k, s.shape[1])
+        # rounding makes equal what differs in the last bits only, so that ties go by id
+        r = np.round(s, 12)
+        kth = -np.partition(-r, top - 1, axis=1)[:, top - 1]
+        i, j = np.nonzero((r >= kth[:, None]) & np.isfinite(r))
+        order = np.lexsort((j, -r[i, j], i))
+        i, j = i[order], j[order]
+        at = np.arange(len(i)) - np.searchsorted(i, i) + 1
+        i, j, at = i[at <= top], j[at <= top], at[at <= top]
+        return pd.DataFrame({"q": ids[i], "c": others[j], "score": s[i, j], "rnk": at.astype(np.int32)})
+
+    out, slices = _met(queries, candidates, best, "q long, c long, score double, rnk int", id_col, vec_col, unit, penalty)
+    if slices == 1:
         return out
     order = W.partitionBy("q").orderBy(F.round("score", 12).desc(), "c")
     return out.drop("rnk").withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= k)
@@ -96,8 +111,9 @@ def csls_penalty(pool: DataFrame, candidates: DataFrame, k: int = 10, id_col: st
 
 def csls_topk(queries: DataFrame, candidates: DataFrame, pool: DataFrame, k: int = 10, top: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(q, c, score, rnk) by 2 cos(q, c) - r(c); the query's own term can't change its ranking and is left out."""
-    r = {int(x["c"]): x["r"] for x in csls_penalty(pool, candidates, k, id_col, vec_col).collect()}  # as many as the candidates the kernel holds
-    return block_topk(queries, candidates, top, id_col, vec_col, penalty=r, scale=2.0)
+    r = csls_penalty(pool, candidates, k, id_col, vec_col)
+    weighed = candidates.select(id_col, vec_col).join(r.withColumnRenamed("c", id_col), id_col, "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
+    return block_topk(queries, weighed, top, id_col, vec_col, penalty="r", scale=2.0)
 
 
 def pairwise(df: DataFrame, ids: list[int], id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -111,25 +127,14 @@ def pairwise(df: DataFrame, ids: list[int], id_col: str = "vec_id", vec_col: str
 
 
 def similar_pairs(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(a, b, sim), a < b, for every pair of cosine ``least`` or more: blocks against the candidates' slices, only hits leave a block."""
-    ship(df.sparkSession)
-    out = None
-    for ids, matrix in _slices(df, id_col, vec_col):
-        n = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix = matrix / np.where(n > 0, n, 1)
-
-        def run(batches, ids=ids, matrix=matrix):
-            for pdf in batches:
-                if len(pdf):
-                    q = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-                    n = np.linalg.norm(q, axis=1, keepdims=True)
-                    s = (q / np.where(n > 0, n, 1)) @ matrix.T
-                    i, j = np.nonzero((s >= least) & (pdf["q"].to_numpy()[:, None] < ids[None]))
-                    yield pd.DataFrame({"a": pdf["q"].to_numpy()[i], "b": ids[j], "sim": s[i, j]})
-
-        part = df.select(F.col(id_col).cast("long").alias("q"), F.col(vec_col).alias("v")).mapInPandas(run, "a long, b long, sim double")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else df.sparkSession.createDataFrame([], "a long, b long, sim double")
+    """(a, b, sim), a < b, for every pair of cosine ``least`` or more: parts against slices, only hits leave a task."""
+
+    def hits(ids, m, others, n, less):
+        s = m @ n.T
+        i, j = np.nonzero((s >= least) & (ids[:, None] < others[None]))
+        return pd.DataFrame({"a": ids[i], "b": others[j], "sim": s[i, j]})
+
+    return _met(df, df, hits, "a long, b long, sim double", id_col, vec_col, True)[0]
 
 
 def kth_distance(nn: DataFrame, k: int) -> DataFrame:

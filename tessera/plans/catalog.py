@@ -61,10 +61,10 @@ def _(spark, d):
     return markup.html_links(table(spark, d, "pages"))
 
 
-@query("normalize_tokens", r"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\s.,;:!?]+')) AS token FROM documents WHERE lang IN ('es', 'fr') AND doc_id % 10 = 0)
+@query("normalize_tokens", r"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\s.,;:!?]+')) AS token FROM documents)
 SELECT token, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(replace(regexp_replace(translate(token, 'âêîûáéíóúÂÊÎÛÁÉÍÓÚ', 'aeiuaeiouAEIUAEIOU'), '\{([^}]*)\}', '\1', 'g'), '-', '')), 'a+', 'a', 'g'), 'e+', 'e', 'g'), 'i+', 'i', 'g'), 'o+', 'o', 'g'), 'u+', 'u', 'g')) AS norm FROM t WHERE NOT regexp_matches(token, '[A-ZÀ-Þ]')""")
 def _(spark, d):
-    docs = table(spark, d, "documents").where("lang IN ('es', 'fr') AND doc_id % 10 = 0")
+    docs = table(spark, d, "documents")
     t = docs.select(F.explode(F.regexp_extract_all("text", F.lit("[^\\s.,;:!?]+"), F.lit(0))).alias("token")).distinct().where(~F.col("token").rlike("[A-ZÀ-Þ]"))
     return t.select("token", T.normalize_akkadian(F.col("token")).alias("norm"))
 
@@ -255,10 +255,18 @@ def _(spark, d):
 # --- graph ----------------------------------------------------------------------------
 
 
-@query("connected_components", """WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS a, 'd' || CAST(o_orderdate AS DATE) AS b FROM orders WHERE o_orderkey % 6 = 0), u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS to_ FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.to_ = u.a)
-SELECT node, min(to_) AS component FROM r GROUP BY node""")
+@query(
+    "connected_components",
+    """WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT 'c' || o_custkey AS a, 'd' || CAST(o_orderdate AS DATE) AS b FROM orders), u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, component) USING KEY (node) AS (
+  SELECT DISTINCT a, a FROM u
+  UNION
+  SELECT u.b, min(r.component) FROM r JOIN u ON r.node = u.a JOIN recurring.r AS o ON o.node = u.b WHERE r.component < o.component GROUP BY u.b
+)
+SELECT node, component FROM r""",
+)
 def _(spark, d):
-    e = table(spark, d, "orders").where("o_orderkey % 6 = 0").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("d"), F.col("o_orderdate").cast("date").cast("string")).alias("dst"))
+    e = table(spark, d, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("d"), F.col("o_orderdate").cast("date").cast("string")).alias("dst"))
     return G.connected_components(e)
 
 
@@ -278,12 +286,12 @@ def _(spark, d):
     return N.neighbour_table(space(spark, d), 10).withColumn("score", F.round("score", 6))
 
 
-@query("csls_topk", f"""WITH {UNIT_SQL}, qs AS (SELECT * FROM u WHERE vec_id % 10 = 0), cs AS (SELECT * FROM u WHERE vec_id % 10 <> 0), s AS (SELECT a.vec_id AS q, b.vec_id AS c, list_dot_product(a.v, b.v) AS x FROM qs a, cs b), rr AS (SELECT c, avg(x) AS r FROM (SELECT c, x, row_number() OVER (PARTITION BY c ORDER BY round(x, 12) DESC, q) AS k FROM s) WHERE k <= 10 GROUP BY c), z AS (SELECT q, s.c, 2 * x - r AS score FROM s JOIN rr ON s.c = rr.c)
+@query("csls_topk", f"""WITH {UNIT_SQL}, qs AS (SELECT * FROM u WHERE vec_id % 100 = 0), s AS (SELECT a.vec_id AS q, b.vec_id AS c, list_dot_product(a.v, b.v) AS x FROM qs a, u b), rr AS (SELECT c, avg(x) AS r FROM (SELECT c, x, row_number() OVER (PARTITION BY c ORDER BY round(x, 12) DESC, q) AS k FROM s) WHERE k <= 10 GROUP BY c), z AS (SELECT q, s.c, 2 * x - r AS score FROM s JOIN rr ON s.c = rr.c)
 SELECT q, c, round(score, 6) AS score, rnk FROM (SELECT q, c, score, CAST(row_number() OVER (PARTITION BY q ORDER BY round(score, 12) DESC, c) AS INTEGER) AS rnk FROM z) WHERE rnk <= 5""")
 def _(spark, d):
     e = space(spark, d)
-    q = e.where("vec_id % 10 = 0")
-    return N.csls_topk(q, e.where("vec_id % 10 <> 0"), q, top=5).withColumn("score", F.round("score", 6))
+    q = e.where("vec_id % 100 = 0")
+    return N.csls_topk(q, e, q, top=5).withColumn("score", F.round("score", 6))
 
 
 def _lookup(spark, d):
@@ -463,10 +471,10 @@ def _(spark, d):
     return DOC.sif_weights(C.token_frequency(table(spark, d, "documents"), words())).withColumn("w", F.round("w", 9))
 
 
-@query("doc_centroid", """WITH w AS (SELECT CAST(vec_id AS VARCHAR) AS word, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), t AS (SELECT l_orderkey AS doc_id, CAST(l_partkey AS VARCHAR) AS token FROM lineitem WHERE l_orderkey < 400), x AS (SELECT doc_id, unnest(range(1, 65)) AS i, v FROM t JOIN w ON token = word), m AS (SELECT doc_id, i, avg(v[i]) AS m FROM x GROUP BY ALL)
+@query("doc_centroid", """WITH w AS (SELECT CAST(vec_id AS VARCHAR) AS word, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), t AS (SELECT l_orderkey AS doc_id, CAST(l_partkey AS VARCHAR) AS token FROM lineitem), x AS (SELECT doc_id, unnest(range(1, 65)) AS i, v FROM t JOIN w ON token = word), m AS (SELECT doc_id, i, avg(v[i]) AS m FROM x GROUP BY ALL)
 SELECT doc_id, round(sqrt(sum(m * m)), 6) AS len, round(max(m), 6) AS top FROM m GROUP BY doc_id""")
 def _(spark, d):
-    docs = C.ordered_lines(table(spark, d, "lineitem").where("l_orderkey < 400").withColumn("t", F.col("l_partkey").cast("string")), [F.col("l_orderkey").alias("doc_id")], "l_linenumber", "t", "tokens")
+    docs = C.ordered_lines(table(spark, d, "lineitem").withColumn("t", F.col("l_partkey").cast("string")), [F.col("l_orderkey").alias("doc_id")], "l_linenumber", "t", "tokens")
     sp = space(spark, d).select(F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vec"))
     return DOC.doc_centroids(docs, F.col("tokens"), sp).select("doc_id", F.round(V.norm(F.col("mean")), 6).alias("len"), F.round(F.array_max("mean"), 6).alias("top"))
 
@@ -608,10 +616,16 @@ def _(spark, d):
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("k").alias("n_k"), F.min("k").alias("low"))
 
 
-@query("xml_lines", "SELECT doc_id, 'c.' || doc_id AS line_id, array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:6], ' ') AS line FROM documents WHERE len(regexp_extract_all(lower(text), '[a-z]+')) > 0")
+@query(
+    "xml_lines",
+    """WITH l AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS ls FROM documents))
+SELECT doc_id, 'c.' || doc_id || '.' || (i - 1) AS line_id, array_to_string(regexp_extract_all(ls[i], '[a-z]+'), ' ') AS line FROM l WHERE regexp_matches(ls[i], '[a-z]')""",
+)
 def _(spark, d):
-    forms = F.transform(F.slice(words(), 1, 6), lambda w: F.concat(F.lit('<w form="'), w, F.lit('"/>')))
-    xml = F.concat(F.lit('<TEI xmlns="urn:x"><text><l id="c.'), "doc_id", F.lit('">'), F.array_join(forms, " "), F.lit("</l></text></TEI>"))
+    form = lambda w: F.concat(F.lit('<w form="'), w, F.lit('"/>'))
+    forms = lambda x: F.array_join(F.transform(F.regexp_extract_all(x, F.lit("[a-z]+"), F.lit(0)), form), " ")
+    lines = F.transform(F.split(F.lower("text"), "\n"), lambda x, i: F.concat(F.lit('<l id="c.'), F.col("doc_id").cast("string"), F.lit("."), i.cast("string"), F.lit('">'), forms(x), F.lit("</l>")))
+    xml = F.concat(F.lit('<TEI xmlns="urn:x"><text>'), F.array_join(lines, "\n"), F.lit("</text></TEI>"))
     got = markup.scan(table(spark, d, "documents").select("doc_id", xml.alias("xml")), markup.TeiLines, "xml", ["doc_id"])
     return got.select("doc_id", "line_id", F.col("text").alias("line"))
 
@@ -625,16 +639,16 @@ def _(spark, d):
     return got.select("p_number", F.size("lines").cast("long").alias("n_lines"), F.array_join("lines", "|").alias("body"))
 
 
-@query("cdl_walk", f"SELECT doc_id, count(*) AS n_leaves FROM (SELECT doc_id, unnest({WORDS_SQL.format('text')}[1:8]) AS w FROM documents) GROUP BY doc_id")
+@query("cdl_walk", f"SELECT doc_id, count(*) AS n_leaves FROM (SELECT doc_id, unnest({WORDS_SQL.format('text')}) AS w FROM documents) GROUP BY doc_id")
 def _(spark, d):
-    leaves = F.transform(F.slice(words(), 1, 8), lambda w: F.struct(F.struct(F.lit("sux").alias("lang"), w.alias("form")).alias("f")))
+    leaves = F.transform(words(), lambda w: F.struct(F.struct(F.lit("sux").alias("lang"), w.alias("form")).alias("f")))
     docs = table(spark, d, "documents").select("doc_id", F.to_json(F.struct(F.lit("line-start").alias("type"), F.array(F.struct(leaves.alias("cdl"))).alias("cdl"))).alias("js"))
     return records.cdl_lemmas(records.walk_cdl(docs, "js", "doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_leaves"))
 
 
-@query("conllu_parse", f"SELECT doc_id AS doc, count(*) AS n FROM (SELECT doc_id, unnest({WORDS_SQL.format('text')}[1:10]) AS w FROM documents) GROUP BY doc_id")
+@query("conllu_parse", f"SELECT doc_id AS doc, count(*) AS n FROM (SELECT doc_id, unnest({WORDS_SQL.format('text')}) AS w FROM documents) GROUP BY doc_id")
 def _(spark, d):
-    rows = F.transform(F.slice(words(), 1, 10), lambda w, i: F.concat_ws("\t", (i + 1).cast("string"), w, w, F.lit("NOUN"), F.lit("_"), F.lit("_"), F.lit("0"), F.lit("_"), F.lit("_"), F.lit("_")))
+    rows = F.transform(words(), lambda w, i: F.concat_ws("\t", (i + 1).cast("string"), w, w, F.lit("NOUN"), F.lit("_"), F.lit("_"), F.lit("0"), F.lit("_"), F.lit("_"), F.lit("_")))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.concat(F.lit("## text: x\n# c\n"), F.array_join(rows, "\n"), F.lit("\n\nbad\trow")).alias("text"))
     return records.parse_conllu(docs)[0].groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
 
@@ -659,8 +673,7 @@ def _(spark, d):
 
     batch = table(spark, d, "documents")
     stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").parquet(_stream_folder(spark, batch))
-    name = f"tessera_counts_{uuid.uuid4().hex[:8]}"
-    return ingest.run_available(ingest.token_counts(stream, words()), f"{scratch(spark)}/{name}", name)
+    return ingest.run_available(ingest.token_counts(stream, words()), f"{scratch(spark)}/tessera-counts-{uuid.uuid4().hex[:8]}")
 
 
 def _stream_folder(spark, batch: DataFrame) -> str:

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _shipped: set[str] = set()
 
@@ -47,3 +47,9 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     path = f"{scratch(df.sparkSession)}/tessera-{label}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def lateral(rows: DataFrame, table_function, arg: str) -> DataFrame:
+    """The rows that a Python table function makes of column ``arg`` of each row, with its other columns. Nothing is registered by name."""
+    ship(rows.sparkSession)
+    return rows.lateralJoin(table_function(F.col(arg).outer())).drop(arg)

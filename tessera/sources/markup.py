@@ -8,7 +8,7 @@ import xml.etree.ElementTree as ET
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import udtf
 
-from ..runtime import ship
+from ..runtime import lateral
 
 #: Tags of the Sanskrit dictionary whose own text isn't English.
 NOT_ENGLISH = frozenset("s s1 ls ab lex hom info lang gk etym ns bio bot root pb srs shc vlex abE pcol".split())
@@ -140,10 +140,7 @@ class DictionaryEntries:
 
 def scan(docs: DataFrame, table_function, xml: str, keep: list[str]) -> DataFrame:
     """The rows that a table function makes of each document, with the kept columns."""
-    ship(docs.sparkSession)
-    docs.select(*keep, plain_entities(F.col(xml)).alias("_xml")).createOrReplaceTempView("_tessera_docs")
-    docs.sparkSession.udtf.register("_tessera_scan", table_function)
-    return docs.sparkSession.sql(f"SELECT {', '.join('d.`' + k + '`' for k in keep)}{', ' if keep else ''}t.* FROM _tessera_docs d, LATERAL _tessera_scan(d._xml) t")
+    return lateral(docs.select(*keep, plain_entities(F.col(xml)).alias("_xml")), table_function, "_xml")
 
 
 def lemma_records(words: DataFrame) -> DataFrame:

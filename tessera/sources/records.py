@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.functions import udtf
 
 from ..functions import text as T
-from ..runtime import ship
+from ..runtime import lateral, ship
 
 #: Greek letters of Beta Code; marks follow their letter.
 BETA = dict(zip("abgdezhqiklmncoprstufxyw", "αβγδεζηθικλμνξοπρστυφχψω"))
@@ -90,10 +90,7 @@ class CdlWalk:
 
 
 def walk_cdl(files: DataFrame, text: str, doc: str) -> DataFrame:
-    ship(files.sparkSession)
-    files.select(F.col(doc).alias("doc_id"), F.col(text).alias("_text")).createOrReplaceTempView("_tessera_cdl")
-    files.sparkSession.udtf.register("_tessera_cdl_walk", CdlWalk)
-    return files.sparkSession.sql("SELECT d.doc_id, t.* FROM _tessera_cdl d, LATERAL _tessera_cdl_walk(d._text) t")
+    return lateral(files.select(F.col(doc).alias("doc_id"), F.col(text).alias("_text")), CdlWalk, "_text")
 
 
 def cdl_lemmas(leaves: DataFrame, prefix: str = "sux") -> DataFrame:

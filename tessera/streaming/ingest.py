@@ -20,26 +20,35 @@ def first_records(stream: DataFrame, key: str, ts: str, late: str = "1 day") ->
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def run_available(out: DataFrame, checkpoint: str, name: str, mode: str = "complete") -> DataFrame:
-    """Take in all that is there, then give the result table."""
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [d.getPath().getName() for d in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n[1:]) for n in names if n.startswith("v"))
+
+
+def run_available(out: DataFrame, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Take in all that is there, then give the result table. Each batch writes it whole, as Parquet under the checkpoint folder; the driver holds none of it."""
     spark: SparkSession = out.sparkSession
-    query = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    table = f"{checkpoint}/result"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/v{number}")
+
+    query = out.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return spark.table(name)
+    done = _versions(spark, table)
+    return spark.read.schema(out.schema).parquet(f"{table}/v{done[-1]}") if done else spark.createDataFrame([], out.schema)
 
 
 def upsert_best(batch: DataFrame, state_path: str, key: str, size: Column) -> None:
     """For foreachBatch: merge a batch into the table of the records with the greatest size per key (ties: the one that was there)."""
     spark = batch.sparkSession
     new = batch.withColumn("_size", size).withColumn("_new", F.lit(1))
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(state_path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = [d.getPath().getName() for d in fs.listStatus(p)] if fs.exists(p) else []
-    versions = sorted(int(n[1:]) for n in old if n.startswith("v"))
+    versions = _versions(spark, state_path)
     both = new
     if versions:
         both = new.unionByName(spark.read.parquet(f"{state_path}/v{versions[-1]}").withColumn("_new", F.lit(0)))
