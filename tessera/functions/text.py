@@ -155,9 +155,9 @@ def clean_atf_line(c: Column | str, normalize=None, capitals_first: bool = True)
     return F.when(_text(c).startswith("$") | x.isin("", "..."), F.lit("")).otherwise(F.array_join(kept, " "))
 
 
-def clean_line(c: Column | str, normalize=normalize_sanskrit) -> Column:
-    """Each blank-separated token normalised, empty ones dropped. ``normalize`` must be free of Python functions."""
-    return F.array_join(F.filter(F.transform(tokens(_text(c)), normalize), lambda t: t != ""), " ")
+def clean_line(c: Column | str, normalize=lambda t: strip(F.lower(t))) -> Column:
+    """Each blank-separated token of the composed line normalised (as in Sanskrit: lower case), empty ones dropped. ``normalize`` must be free of Python functions."""
+    return F.array_join(F.filter(F.transform(tokens(nfc(_text(c))), normalize), lambda t: t != ""), " ")
 
 
 def document_tokens(c: Column | str) -> Column:
