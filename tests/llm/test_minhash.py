@@ -88,3 +88,21 @@ def test_signatures_estimate_the_similarity():
         errors.append((sa == sb).mean() - 0.8)
         assert (M.bands(sa) == M.bands(sb)).any()
     assert abs(np.mean(errors)) < 0.01
+
+
+def test_thousands_of_tiny_near_copies(spark):
+    """More nodes than a task compares at once; each is linked with the first one only, so no two others make a short cut."""
+    base = [f"w{i}" for i in range(20)]
+    docs = [(0, " ".join(base))] + [(i, " ".join(base[: i % 19 + 1] + [f"x{i}"] + base[i % 19 + 2 :])) for i in range(1, 4500)]
+    got = M.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), width=2).collect()
+    assert len(got) == len(docs)
+
+    def shingles(t):
+        ws = t.split()
+        return set(zip(ws, ws[1:]))
+
+    sets = [shingles(t) for _, t in docs]
+    for r in got:
+        s = sets[r["doc_id"]]
+        if 100 * len(s & sets[0]) >= 80 * len(s | sets[0]):
+            assert r["component_id"] == 0
