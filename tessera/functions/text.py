@@ -23,11 +23,23 @@ SLP1 = {
 NEGATORS = ("not", "no", "without", "never")
 GERMAN_NEGATORS = ("nicht", "kein", "keine", "keinen", "ohne", "nie", "niemals")
 CROSS_REFERENCES = ("see", "cf", "vid")
-SCAFFOLD = tuple("having relating belonging rarely who whose one's various especially particularly chiefly generally usually being".split())
-STOP_WORDS = tuple("a an the to of in on at by for with be is are was were as or and but if so do did have has had from into out up down over under between during before after above below any some all each every one two three four five".split())
+SCAFFOLD = (
+    "having", "relating", "belonging", "rarely", "who", "whose", "one's", "various", "especially", "particularly", "chiefly", "generally", "usually",
+    "being",
+)
+STOP_WORDS = (
+    "a", "an", "the", "to", "of", "in", "on", "at", "by", "for", "with", "be", "is", "are", "was", "were", "as", "or", "and", "but", "if", "so", "do",
+    "did", "have", "has", "had", "from", "into", "out", "up", "down", "over", "under", "between", "during", "before", "after", "above", "below",
+    "any", "some", "all", "each", "every", "one", "two", "three", "four", "five",
+)
 GLOSS_WORD = "[\\p{L}][\\p{L}'\\-]*"
-COOCCURRENCE_STOP_WORDS = tuple("the of and in to a is was for on with his her its their he she it they that this by from at an be has had not but who which as or if my your".split())
-JUNK_GLOSSES = tuple("x xx 0 00 1 n c e i u s unmng cf".split())
+COOCCURRENCE_STOP_WORDS = (
+    "the", "of", "and", "in", "to", "a", "is", "was", "for", "on", "with", "his", "her", "its", "their", "he", "she", "it", "they", "that", "this",
+    "by", "from", "at", "an", "be", "has", "had", "not", "but", "who", "which", "as", "or", "if", "my", "your",
+)
+JUNK_GLOSSES = (
+    "x", "xx", "0", "00", "1", "n", "c", "e", "i", "u", "s", "unmng", "cf",
+)
 ENGLISH_STOP_GLOSSES = STOP_WORDS + ("des", "de")
 
 

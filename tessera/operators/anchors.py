@@ -175,8 +175,3 @@ def best_normalized(anchors: DataFrame, normalize: Callable[[Column], Column] =
     """Raw anchors (surface, english, frequency, ord) filtered, one per normalised surface: the most frequent."""
     keep = (F.col("frequency") >= least) & (F.length("english") > 1) & ~F.col("english").isin(*[g for g in T.JUNK_GLOSSES if g not in ("unmng", "cf")]) & ~F.col("english").rlike("^\\d+$") & T.gw_is_usable(F.col("english"))
     return best_per_key(anchors.where(keep).withColumn("raw", F.col("surface")).withColumn("surface", normalize(F.col("surface"))), ["surface"], [F.col("frequency").desc(), F.col("ord")])
-
-
-def longest_runs(anchors: DataFrame) -> DataFrame:
-    """Rank of each anchor by confidence within its source."""
-    return anchors.withColumn("rnk", F.row_number().over(W.partitionBy("source").orderBy(F.col("confidence").desc(), "surface")))

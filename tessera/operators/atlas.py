@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T, vectors as V
+from ..runtime import few
 from .corpus import best_per_key
 from .nearest import block_topk, kth_distance, neighbour_table, similar_pairs, similarity_histogram
 
@@ -60,7 +61,7 @@ def doppelganger_histogram(pairs: DataFrame) -> DataFrame:
 def bridges(space: DataFrame, centroids: DataFrame, top: int | None = 50, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Lens 6: rows between clusters, by nearest over second-nearest centroid distance (1 if the second is 0). ``centroids`` is (cluster, mean), a few dozen."""
     c = centroids.select(F.col("cluster"), V.doubles(F.col("mean")).alias("m"))
-    rows = space.select(F.col(id_col).alias("vec"), V.unit(V.doubles(F.col(vec_col))).alias("v")).join(F.broadcast(c))
+    rows = space.select(F.col(id_col).alias("vec"), V.unit(V.doubles(F.col(vec_col))).alias("v")).join(few(c, "centroids"))
     dist = F.sqrt(F.aggregate(F.zip_with("v", "m", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     near = rows.groupBy("vec").agg(F.slice(F.array_sort(F.collect_list(F.struct(dist.alias("d"), F.col("cluster").alias("k")))), 1, 2).alias("near"))
     first, second = F.col("near")[0], F.get("near", F.lit(1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import vectors as V
+from ..runtime import few
 from .nearest import mean_vector
 from .study import mean_reciprocal_rank
 
@@ -35,7 +36,7 @@ def loo_nearest_centroid(df: DataFrame, label: str, vec: str, doc: str) -> DataF
     long = rows.select("label", F.posexplode("v").alias("dim", "x")).groupBy("label", "dim").agg(F.sum("x").alias("s"))
     sums = long.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "s"))), lambda z: z["s"]).alias("s"))
     classes = sums.join(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label").select(F.col("label").alias("cls"), "s", "n")
-    scored = rows.join(F.broadcast(classes))
+    scored = rows.join(few(classes, "classes"))
     own = F.col("label") == F.col("cls")
     mean = F.when(own, V.minus(F.col("s"), F.col("v"))).otherwise(F.col("s"))
     scored = scored.where(~(own & (F.col("n") == 1))).withColumn("sim", V.cosine(F.col("v"), mean))
@@ -67,7 +68,7 @@ def parallels(centroids: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     right = centroids.where("side = 'right'").select(F.col("doc_id").alias("cand"), F.col("mean").alias("rv"))
     left = pairs.join(centroids.where("side = 'left'"), F.col("left_id") == F.col("doc_id")).select("pair", "right_id", F.col("mean").alias("lv"))
-    scored = right.join(F.broadcast(left)).withColumn("sim", V.cosine(F.col("lv"), F.col("rv")))
+    scored = right.join(few(left, "pairs")).withColumn("sim", V.cosine(F.col("lv"), F.col("rv")))
     target = scored.where("cand = right_id").select("pair", F.col("sim").alias("t"))
     return scored.join(target, "pair").groupBy("pair").agg((1 + F.count_if(F.col("sim") > F.col("t"))).alias("rnk"), F.count(F.lit(1)).alias("pool"))
 
@@ -85,7 +86,7 @@ def compositions(lines: DataFrame, genre: Column, tokens: Column) -> DataFrame:
 def fingerprints(docs: DataFrame, concepts: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, concept, value): cosine of each document with each of a short list of concepts, to four places."""
     c = concepts.select("concept", F.col("vec").alias("cv"))
-    return docs.join(F.broadcast(c)).select(doc, "concept", F.round(V.cosine(V.doubles(F.col("mean")), V.doubles(F.col("cv"))), 4).alias("value"))
+    return docs.join(few(c, "concepts")).select(doc, "concept", F.round(V.cosine(V.doubles(F.col("mean")), V.doubles(F.col("cv"))), 4).alias("value"))
 
 
 def axis_projection(space: DataFrame, low: list[str], high: list[str]) -> DataFrame:

@@ -9,12 +9,25 @@ import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import vectors as V
+from ..runtime import written
 
 
 def average_rank(df: DataFrame, col: str, by: list[str], out: str) -> DataFrame:
-    """Ranks from 1, ties sharing their mean."""
-    same = W.partitionBy(*by, col)
-    return df.withColumn(out, F.rank().over(W.partitionBy(*by).orderBy(col)) + (F.count(F.lit(1)).over(same) - 1) / 2)
+    """Ranks from 1, ties sharing their mean. Without ``by`` the values are counted, dealt out by range and numbered part by part; the driver holds a row per part."""
+    if by:
+        same = W.partitionBy(*by, col)
+        return df.withColumn(out, F.rank().over(W.partitionBy(*by).orderBy(col)) + (F.count(F.lit(1)).over(same) - 1) / 2)
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counted = df.groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counted = written(counted.repartitionByRange(parts, "_v").withColumn("_part", F.spark_partition_id()), "ranks")
+    before, seen = [], 0
+    for r in sorted(counted.groupBy("_part").agg(F.sum("_n").alias("n")).collect()):
+        before.append((r["_part"], seen))
+        seen += r["n"]
+    table = df.sparkSession.createDataFrame(before, "_part int, _before long")
+    upto = F.sum("_n").over(W.partitionBy("_part").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = counted.withColumn("_upto", upto).join(F.broadcast(table), "_part").select("_v", (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
+    return df.join(ranked, F.col(col).eqNullSafe(F.col("_v"))).drop("_v")
 
 
 def spearman_by(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:

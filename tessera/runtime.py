@@ -53,3 +53,14 @@ def lateral(rows: DataFrame, table_function, arg: str) -> DataFrame:
     """The rows that a Python table function makes of column ``arg`` of each row, with its other columns. Nothing is registered by name."""
     ship(rows.sparkSession)
     return rows.lateralJoin(table_function(F.col(arg).outer())).drop(arg)
+
+
+#: Rows of a table that is set against all rows of another one.
+FEW = 10_000
+
+
+def few(df: DataFrame, what: str, most: int = FEW) -> DataFrame:
+    """The table marked for broadcast, once it is seen to have at most ``most`` rows; ValueError beyond that."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"{what}: more than {most} rows")
+    return F.broadcast(df)

@@ -11,7 +11,7 @@ from pyspark.sql.functions import udtf
 from ..runtime import lateral
 
 #: Tags of the Sanskrit dictionary whose own text isn't English.
-NOT_ENGLISH = frozenset("s s1 ls ab lex hom info lang gk etym ns bio bot root pb srs shc vlex abE pcol".split())
+NOT_ENGLISH = frozenset({"s", "s1", "ls", "ab", "lex", "hom", "info", "lang", "gk", "etym", "ns", "bio", "bot", "root", "pb", "srs", "shc", "vlex", "abE", "pcol"})
 
 
 def local(tag) -> str:
