@@ -26,6 +26,6 @@ def bounded_sample(rows: DataFrame, label: str, most: int, text: str | None = No
     table = spark.createDataFrame([(r[0], min(1.0, 2 * each / r["n"])) for r in found], rows.select(rows[label], F.lit(0.5).alias("part")).schema)
     key = F.xxhash64("doc_id", *([text] if text else []), F.lit(seed))
     drawn = rows.select(*names).withColumn("draw", key).join(F.broadcast(table), label).where(F.pmod("draw", F.lit(1_000_003)) / 1_000_003 < F.col("part"))
-    once = drawn.groupBy(label, "doc_id", "draw").agg(*([F.first(text).alias(text)] if text else []))
+    once = drawn.groupBy(label, "doc_id", "draw").agg(F.first(text).alias(text)) if text else drawn.select(label, "doc_id", "draw").distinct()
     order = W.partitionBy(label).orderBy(F.pmod("draw", F.lit(1_000_003)), "draw", "doc_id")
     return once.withColumn("at", F.row_number().over(order)).where(F.col("at") <= each).select(*names)
