@@ -148,10 +148,11 @@ def monosemous_pairs(anchors: DataFrame) -> DataFrame:
     return anchors.join(one, "surface", "left_semi").groupBy("surface", "english").agg(F.min("ord").alias("ord"))
 
 
-def gather_training(anchors: DataFrame, source: DataFrame, target: DataFrame, fallback: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Anchors whose surface and English word both have vectors, with x and y, by ord.
+def gather_training(anchors: DataFrame, source: DataFrame, target: DataFrame, fallback: Callable[[Column], Column] | None = None, subwords: DataFrame | None = None, train: Column | None = None) -> DataFrame:
+    """Anchors whose surface and English word both have vectors, with x, y and subword_inferred, by ord.
 
-    ``fallback`` maps a surface to a second key (case-folded, say) that is tried in the same way; the first row of a key wins.
+    ``fallback`` maps a surface to a second key (case-folded, say) that is tried in the same way; the first row of a key wins. Where neither has a vector,
+    one of ``subwords`` (word, vec), lengthened by zeros to the width of the others, is taken for rows of which ``train`` holds.
     """
     s = source.select(F.col("word").alias("surface"), F.col("vec").alias("x"))
     t = target.select(F.col("word").alias("english"), F.col("vec").alias("y"))
@@ -159,6 +160,13 @@ def gather_training(anchors: DataFrame, source: DataFrame, target: DataFrame, fa
     if fallback is not None:
         folded = best_per_key(source.select(fallback(F.col("word")).alias("k"), F.col("vec").alias("x2"), "row_idx"), ["k"], [F.col("row_idx")]).drop("row_idx")
         rows = rows.withColumn("k", fallback(F.col("surface"))).join(folded, "k", "left").withColumn("x", F.coalesce("x", "x2")).drop("k", "x2")
+    rows = rows.withColumn("subword_inferred", F.lit(False))
+    if subwords is not None:
+        width = source.select(F.size("vec").alias("n")).first()
+        longer = F.concat("vec", F.array_repeat(F.lit(0.0), F.greatest(F.lit(width["n"] if width else 0) - F.size("vec"), F.lit(0))))
+        made = subwords.select(F.col("word").alias("surface"), longer.cast(source.schema["vec"].dataType).alias("x3"))
+        may = F.col("x").isNull() & F.col("x3").isNotNull() & (train if train is not None else F.lit(True))
+        rows = rows.join(made, "surface", "left").withColumn("subword_inferred", may).withColumn("x", F.when(may, F.col("x3")).otherwise(F.col("x"))).drop("x3")
     return rows.where("x IS NOT NULL").orderBy("ord")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
-from ..operators import anchors as A, corpus as C, diagnostics as D, docs as DOC, evaluation as E, graph as G, linear as L
+from ..operators import anchors as A, corpus as C, diagnostics as D, docs as DOC, evaluation as E, graph as G, linear as L, models as M
 from ..runtime import written
 from ..slots import SLOTS, SlotSpec
 
@@ -31,7 +31,9 @@ def align(anchors: DataFrame, source: DataFrame, target: DataFrame, slot: SlotSp
     """Split without leaks, choose the penalty on validation, refit on train and validation, score the suite."""
     split = written(G.group_split(G.anchor_groups(anchors, slot.split_fallback)), "split")
     fold = (lambda c: F.lower(c)) if slot.name == "egyptian" else None
-    data = written(A.gather_training(split, source, target, fold), "gathered")
+    missing = split.select("surface").join(source, F.col("surface") == F.col("word"), "left_anti").select(F.col("surface").alias("word")).distinct()
+    made = M.subword_vectors(missing, M.ngram_vectors(source)) if slot.subwords_for_training else None
+    data = written(A.gather_training(split, source, target, fold, made, F.col("part") == "train"), "gathered")
     part = lambda p: data.where(F.col("part") == p)
     cand = written(E.load_candidates(target, candidates), "candidates")
     predicted = lambda rows, coef, b: L.project(rows, "x", coef.T, b, "vec").select(F.col("ord").alias("q_id"), "ord", F.col("english").alias("gold"), "surface", "vec")

@@ -183,3 +183,9 @@ def write_space(space: DataFrame, path: str, half: bool = False) -> None:
         ship(space.sparkSession)
         space = space.withColumn("vec", F.pandas_udf(halved, "array<float>")("vec"))
     space.withColumn("vec", F.col("vec").cast("array<float>")).repartitionByRange("row_idx").sortWithinPartitions("row_idx").write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def write_vectors_text(space: DataFrame, path: str) -> None:
+    """'word v1 ... vn' lines in row order within files, as ``parse_vectors_text`` reads them."""
+    line = F.concat_ws(" ", "word", F.transform("vec", lambda x: x.cast("float").cast("string")))
+    space.repartitionByRange("row_idx").sortWithinPartitions("row_idx").select(line.alias("value")).write.mode("overwrite").text(path)

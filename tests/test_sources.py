@@ -95,3 +95,37 @@ def test_html(spark):
     df = spark.createDataFrame([(1, "<p>a <!-- x --><script>no</script> b</p><a class='q' href=\"/u\">c</a>")], "page_id int, html string")
     assert df.select(markup.html_text(F.col("html")).alias("t")).first()["t"] == "a b c"
     assert markup.html_links(df).first()["href"] == "/u"
+
+
+def test_zip_archives(spark, tmp_path):
+    import zipfile
+
+    from tessera.sources import archives
+
+    leaf = lambda form, lang="sux": {"f": {"lang": lang, "form": form, "cf": form, "gw": "g", "pos": "N"}}
+    tree = lambda *forms: json.dumps({"cdl": [{"type": "line-start", "cdl": [leaf(f) for f in forms]}]})
+    with zipfile.ZipFile(tmp_path / "p.zip", "w") as z:
+        z.writestr("p/corpusjson/P1.json", tree("lugal", "e"))
+        z.writestr("p/corpusjson/P2.json", tree("an"))
+        z.writestr("p/corpusjson/P3.json", "{broken")
+        z.writestr("p/other/P4.json", tree("no"))
+        z.writestr("p/catalogue.json", json.dumps({"members": {"P1": {"genre": "Incantation"}, "P2": {"genre": "letter"}, "P9": {}}}))
+        z.writestr("etc/transliterations/c.1.1.xml", "<a/>")
+        z.writestr("etc/translations/t.1.1.xml", b"<b>\xff</b>")
+    path = str(tmp_path / "p.zip")
+    leaves = archives.project_leaves(spark, path)
+    lemmas, texts = archives.project_texts(leaves, "project")
+    assert sorted(r["form"] for r in lemmas.collect()) == ["an", "e", "lugal"]
+    assert {r["p_number"]: (r["lines"], r["source"]) for r in texts.collect()} == {"P1": (["lugal e"], "project"), "P2": (["an"], "project")}
+    assert [(r["doc_id"], r["tokens"]) for r in archives.incantations(spark, path).collect()] == [("P1", ["lugal", "e"])]
+    assert sorted((r["kind"], r["comp_id"], r["xml"]) for r in archives.composition_files(spark, path).collect()) == [("translation", "t.1.1", "<b>\ufffd</b>"), ("transliteration", "c.1.1", "<a/>")]
+    with zipfile.ZipFile(tmp_path / "q.zip", "w") as z:
+        z.writestr("q/corpusjson/Q1.json", tree("re"))
+    assert [r["doc_id"] for r in archives.incantations(spark, str(tmp_path / "q.zip")).collect()] == ["Q1"]
+
+
+def test_vectors_text_round_trip(spark, tmp_path):
+    space = spark.createDataFrame([(0, "a", [0.5, -1.25]), (1, "b", [3.0, 0.1])], "row_idx long, word string, vec array<float>")
+    records.write_vectors_text(space.coalesce(1), str(tmp_path / "v"))
+    lines = spark.read.text(str(tmp_path / "v")).withColumn("row_idx", F.when(F.col("value").startswith("a"), 0).otherwise(1))
+    assert sorted(map(tuple, records.parse_vectors_text(lines, 2).collect())) == sorted(map(tuple, space.collect()))
