@@ -15,26 +15,32 @@ ONE_TASK = 400_000
 
 
 def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
-    """(node, component): the least node each node reaches.
+    """(node, component): the least node each node reaches; a node whose only edges are to itself is its own.
 
-    Labels spread to neighbours and then along labels, until none changes; a hub's neighbours are reduced before they are shuffled.
+    Each round hangs a node's greater neighbours, then all of them, on the least of its neighbourhood, until the edges are stars around
+    the least nodes. What a hub gathers is reduced before it is shuffled, and its edges move to lesser nodes with each round, so that the rounds
+    grow with the logarithm of the nodes.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    both = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    few = both.count() <= ONE_TASK
-    gather = (lambda df: df.coalesce(1)) if few else (lambda df: df)
-    both = gather(both)
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
-    labels = gather(written(labels, "labels"))
+    now = written(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    alone = now.where("a = b").select(F.col("a").alias("node"))
+    now = now.where("a <> b")
+    seen = None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        new = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("c"))
-        # a label's own label is at least as small
-        jump = labels.select(F.col("node").alias("c"), F.col("component").alias("cc"))
-        new = gather(written(new.join(jump, "c", "left").select("node", F.least("c", F.coalesce("cc", "c")).alias("component"), "old"), "labels"))
-        if new.where("component <> old").isEmpty():
-            return new.select("node", "component")
-        labels = new.select("node", "component")
+        mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit(0xFFFFFFFFFF)))).first())
+        if mark == seen:
+            break
+        seen = mark
+        gather = (lambda df: df.coalesce(1)) if mark[0] <= ONE_TASK else (lambda df: df)
+        both = gather(now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = gather(written(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        now = written(gather(small).where("a <> b").distinct(), "small")
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    found = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    return found.unionByName(alone.join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
 
 
 def near_surface_pairs(anchors: DataFrame) -> DataFrame:
