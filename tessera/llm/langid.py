@@ -79,18 +79,10 @@ def decode(model, x: np.ndarray):
     return loss.argmin(1), top[:, 0], (top[:, 1] > 0.5 * top[:, 0]) if p.shape[1] > 1 else np.zeros(len(x), bool)
 
 
-def identify(docs: DataFrame, most_rows: int = 6000) -> DataFrame:
-    """The language of every whole text.
-
-    The classifiers are fitted on the driver to at most ``most_rows`` rows that have a lang
-    and aren't held out, drawn by hash and alike for all languages. Returns doc_id, held_out,
-    lang_pred, score, ambiguous. ``und`` with score 0 stands for texts that are null or have no
-    letter, and for all texts where nothing could be learned. Rows don't depend on each other: repeated rows give equal rows, an
-    empty table an empty result; further columns are ignored.
-    """
+def fit(rows: DataFrame, most_rows: int = 6000):
+    """(languages, model) fitted on the driver to at most ``most_rows`` rows (doc_id, text, lang) that have a lang and aren't held out, drawn by hash and alike for all languages; no model without any."""
     import pyarrow as pa
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     known = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike("\\p{L}"))
 
     def as_features(batches):
@@ -100,12 +92,26 @@ def identify(docs: DataFrame, most_rows: int = 6000) -> DataFrame:
 
     sample = bounded_sample(known, "lang", most_rows, "text").select("text", "lang").mapInArrow(as_features, "x binary, lang string").where("x IS NOT NULL").toArrow()
     names = sorted(set(sample.column("lang").to_pylist()))
-    model = None
-    if names:
-        number = {n: i for i, n in enumerate(names)}
-        found = sorted(zip(sample.column("lang").to_pylist(), sample.column("x").to_pylist()))
-        x = np.frombuffer(b"".join(v for _, v in found), np.float32).reshape(-1, DIM)
-        model = train(x, np.array([number[n] for n, _ in found]), len(names))
+    if not names:
+        return names, None
+    number = {n: i for i, n in enumerate(names)}
+    found = sorted(zip(sample.column("lang").to_pylist(), sample.column("x").to_pylist()))
+    x = np.frombuffer(b"".join(v for _, v in found), np.float32).reshape(-1, DIM)
+    return names, train(x, np.array([number[n] for n, _ in found]), len(names))
+
+
+def identify(docs: DataFrame, most_rows: int = 6000) -> DataFrame:
+    """The language of every whole text.
+
+    The classifiers are those of ``fit``. Returns doc_id, held_out,
+    lang_pred, score, ambiguous. ``und`` with score 0 stands for texts that are null or have no
+    letter, and for all texts where nothing could be learned. Rows don't depend on each other: repeated rows give equal rows, an
+    empty table an empty result; further columns are ignored.
+    """
+    import pyarrow as pa
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    names, model = fit(rows, most_rows)
 
     def predict(batches):
         for batch in batches:

@@ -75,3 +75,36 @@ def test_samples_are_bounded(spark):
     assert n[0] == 200 and 1 <= n[1] <= 200 and len(got) == sum(n.values())
     many = rows.select("doc_id", F.col("doc_id").alias("y"))
     assert bounded_sample(many, "y", 50).count() <= 50
+
+
+def test_every_language_is_that_of_the_nearest_codeword(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang")
+    names, (code, w, weight) = langid.fit(docs)
+    got = {r["doc_id"]: r for r in langid.op6_langid(spark, d).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        x = langid.features(r["text"])
+        if x is None:
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        bits = [float(x @ w[:-1, b] + w[-1, b]) for b in range(code.shape[1])]
+        loss = {n: sum(np.log1p(np.exp(-f * c)) * v for f, c, v in zip(bits, word, weight)) for n, word in zip(names, code)}
+        assert loss[got[r["doc_id"]]["lang_pred"]] <= min(loss.values()) + 1e-4
+
+
+def test_every_quality_score_is_that_of_all_pairs(spark):
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    m = quality.fit(docs, labels)
+    got = {r["doc_id"]: r for r in quality.op8_quality(spark, d).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        z = m.scaled(quality.features(r["text"])[None])[0].astype(float)
+        at = np.flatnonzero(z)
+        g = (m.v[at].astype(float) @ m.v[at].T.astype(float)) * np.outer(z[at], z[at])
+        raw = m.w0[0] + z @ m.w + np.triu(g, 1).sum()
+        assert abs(1 / (1 + np.exp(-raw)) - got[r["doc_id"]]["score"]) < 1e-3
+        assert got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.3)
