@@ -107,12 +107,12 @@ def _pairs_at_least(percent: int):
     return run
 
 
-def linked_in_blocks(rows: DataFrame, sets: DataFrame, groups: DataFrame, percent: int, most: int = 1 << 20, nodes_at_once: int = links.PART) -> DataFrame:
+def linked_in_blocks(rows: DataFrame, sets: DataFrame, groups: DataFrame, percent: int, most: int = 1 << 20, nodes_at_once: int = links.PART, blocks_at_once: int = 32) -> DataFrame:
     """Edges that connect all linked nodes of the rows (bucket, node, comp).
 
-    A group of nodes that share buckets, directly or through others (groups: node, comp), is compared at once if it has at most ``most`` shingles and
-    ``nodes_at_once`` nodes. Of a larger one, each bucket is, dealt to blocks within these bounds, of which every two meet in
-    one task. That counts all intersections by multiplying incidence matrices and gives one edge
+    A group of nodes that share buckets, directly or through others (groups: node, comp), is dealt to blocks of about ``most`` shingles or
+    ``nodes_at_once`` nodes at most, of which every two meet in one task. Of a group of over ``blocks_at_once`` blocks, which has mostly nodes that share no
+    bucket, each bucket is dealt so; links between nodes that share a bucket are found either way. A task counts all intersections by multiplying incidence matrices and gives one edge
     per node that is linked to another, whatever the number of links.
     """
     import pyarrow as pa
@@ -121,11 +121,11 @@ def linked_in_blocks(rows: DataFrame, sets: DataFrame, groups: DataFrame, percen
     size = sets.select(F.col("cls").alias("node"), (F.length("words") / 8).alias("n"))
     around = groups.withColumnRenamed("comp", "grp")
     of_group = around.join(size, "node").groupBy("grp").agg(blocks.alias("blocks"))
-    placed = rows.select("bucket", "node", "comp").join(around.join(of_group, "grp"), "node")
-    small = placed.where("blocks = 1").select("grp", "node", "comp", "blocks").distinct()
-    large = placed.where("blocks > 1").select(F.xxhash64("bucket", F.lit(2)).alias("grp"), "node", "comp")
+    whole = rows.select("node", "comp").distinct().join(around.join(of_group.where(F.col("blocks") <= blocks_at_once), "grp"), "node")
+    beyond = around.join(of_group.where(F.col("blocks") > blocks_at_once), "grp").select("node")
+    large = rows.join(beyond, "node").select(F.xxhash64("bucket", F.lit(2)).alias("grp"), "node", "comp")
     of_bucket = large.join(size, "node").groupBy("grp").agg(blocks.alias("blocks"))
-    nodes = small.unionByName(large.join(of_bucket, "grp"))
+    nodes = whole.select("grp", "node", "comp", "blocks").unionByName(large.join(of_bucket, "grp"))
     nodes = nodes.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     met = nodes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("grp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "comp")
