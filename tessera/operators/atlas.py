@@ -51,7 +51,7 @@ def divergence(nn_a: DataFrame, nn_b: DataFrame, top: int | None = 50) -> DataFr
 
 def doppelgangers(space: DataFrame, least: float = 0.95, top: int = 50) -> DataFrame:
     """Lens 5: the most similar pairs from ``least`` on."""
-    return similar_pairs(space, least).orderBy(F.desc("sim"), "a", "b").limit(top)
+    return similar_pairs(space, least, top=top).orderBy(F.desc("sim"), "a", "b").limit(top)
 
 
 def doppelganger_histogram(pairs: DataFrame) -> DataFrame:
