@@ -33,8 +33,10 @@ def no_counterpart(source: DataFrame, target: DataFrame, anchors: DataFrame, fre
 
 def isolation(nn: DataFrame, k: int = 10, top: int = 50) -> DataFrame:
     """Lens 3: rows farthest from their k-th neighbour, ties by row, with their five nearest."""
-    near = nn.where("rnk <= 5").groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("rnk", "c"))), lambda x: x["c"]).alias("nearest"))
-    return kth_distance(nn, k).join(near, F.col("vec") == F.col("q")).drop("q").orderBy(F.desc("dist"), "vec").limit(top)
+    # in one aggregation, so that the neighbour table is worked out once
+    five = F.array_sort(F.collect_list(F.when(F.col("rnk") <= 5, F.struct("rnk", "c"))))
+    rows = nn.groupBy(F.col("q").alias("vec")).agg(F.max(F.when(F.col("rnk") == k, 1 - F.col("score"))).alias("dist"), F.transform(five, lambda x: x["c"]).alias("nearest"))
+    return rows.where("dist IS NOT NULL").orderBy(F.desc("dist"), "vec").limit(top)
 
 
 def isolation_histogram(nn: DataFrame, k: int = 10) -> DataFrame:

@@ -52,3 +52,15 @@ def test_doppelgangers_send_as_many_pairs_as_are_asked_for(spark):
     order = np.lexsort((j, i, -s[i, j]))[:5]
     assert [(r["a"], r["b"]) for r in atlas.doppelgangers(rows, 0.3, top=5).collect()] == list(zip(i[order].tolist(), j[order].tolist()))
     assert N.similar_pairs(rows, 0.3, top=5).count() < 2000 < N.similar_pairs(rows, 0.3).count()
+
+
+def test_isolation_works_the_neighbours_out_once(spark):
+    m = np.random.default_rng(3).normal(size=(40, 4))
+    lens = atlas.isolation(N.neighbour_table(as_vectors(space(spark, m)), 10), 10, top=6)
+    assert lens._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsIn") == 1
+    s = unit(m) @ unit(m).T
+    np.fill_diagonal(s, -9)
+    dist = 1 - np.sort(s, 1)[:, -10]
+    got = lens.collect()
+    assert [r["vec"] for r in got] == np.argsort(-dist)[:6].tolist() and np.allclose([r["dist"] for r in got], np.sort(dist)[::-1][:6])
+    assert [r["nearest"] for r in got] == [np.argsort(-s[r["vec"]])[:5].tolist() for r in got]
