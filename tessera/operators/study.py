@@ -4,38 +4,56 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import vectors as V
 from ..runtime import written
 
 
-def average_rank(df: DataFrame, col: str, by: list[str], out: str) -> DataFrame:
-    """Ranks from 1, ties sharing their mean. Without ``by`` the values are counted, dealt out by range and numbered part by part; the driver holds a row per part."""
-    if by:
-        same = W.partitionBy(*by, col)
-        return df.withColumn(out, F.rank().over(W.partitionBy(*by).orderBy(col)) + (F.count(F.lit(1)).over(same) - 1) / 2)
+def _ranked(df: DataFrame, col: str, by: list[str], n: str | None = None) -> tuple[DataFrame, list[str]]:
+    """(_k0.., _v, _rank, _total) for each value of ``col`` in each group, and the names of the group's columns: its average rank from 1 and the group's rows.
+
+    Values are counted (``n``: a column of how many rows a row stands for), dealt out by group and range and numbered part by part, so that a group may be larger than a task.
+    """
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    counted = df.groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    counted = written(counted.repartitionByRange(parts, "_v").withColumn("_part", F.spark_partition_id()), "ranks")
-    before, seen = [], 0
-    for r in sorted(counted.groupBy("_part").agg(F.sum("_n").alias("n")).collect()):
-        before.append((r["_part"], seen))
-        seen += r["n"]
-    table = df.sparkSession.createDataFrame(before, "_part int, _before long")
-    upto = F.sum("_n").over(W.partitionBy("_part").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow))
-    ranked = counted.withColumn("_upto", upto).join(F.broadcast(table), "_part").select("_v", (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
-    return df.join(ranked, F.col(col).eqNullSafe(F.col("_v"))).drop("_v")
+    names = [f"_k{i}" for i in range(len(by))]
+    counted = df.groupBy(*[F.col(k).alias(name) for k, name in zip(by, names)], F.col(col).alias("_v")).agg((F.sum(n) if n else F.count(F.lit(1))).alias("_n"))
+    counted = written(counted.repartitionByRange(parts, *names, "_v").withColumn("_part", F.spark_partition_id()), "ranks")
+    # a row for each group of a part
+    group = W.partitionBy(*names)
+    sizes = counted.groupBy(*names, "_part").agg(F.sum("_n").alias("_in"))
+    before = F.coalesce(F.sum("_in").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*names, "_part", before.alias("_before"), F.sum("_in").over(group).alias("_total"))
+    upto = F.sum("_n").over(W.partitionBy(*names, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    x, y = counted.withColumn("_upto", upto).alias("x"), sizes.alias("y")
+    met = x.join(y, reduce(Column.__and__, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in [*names, "_part"]]))
+    return met.select(*[f"x.{c}" for c in names], "_v", (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2).alias("_rank"), "_total"), names
+
+
+def _with_rank(df: DataFrame, col: str, by: list[str], out: str, rank: Column, n: str | None = None) -> DataFrame:
+    ranked, names = _ranked(df, col, by, n)
+    ranked = ranked.select(*names, "_v", rank.alias(out))
+    on = [F.col(k).eqNullSafe(F.col(name)) for k, name in zip([*by, col], [*names, "_v"])]
+    return df.join(ranked, reduce(Column.__and__, on)).drop(*names, "_v")
+
+
+def average_rank(df: DataFrame, col: str, by: list[str], out: str) -> DataFrame:
+    """Ranks from 1 among the rows of a group, ties sharing their mean."""
+    return _with_rank(df, col, by, out, F.col("_rank"))
 
 
 def spearman_by(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """(by, rho): null where either side is constant."""
-    ranked = average_rank(average_rank(df, x, by, "_rx"), y, by, "_ry")
-    varied = (F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0)
-    sums = ranked.groupBy(*by).agg(F.avg("_rx").alias("mx"), F.avg("_ry").alias("my"), F.avg(F.col("_rx") * F.col("_ry")).alias("xy"), F.stddev_pop("_rx").alias("sx"), F.stddev_pop("_ry").alias("sy"), varied.alias("ok"))
-    return sums.select(*by, F.when(F.col("ok"), (F.col("xy") - F.col("mx") * F.col("my")) / F.when(F.col("ok"), F.col("sx") * F.col("sy"))).alias("rho"))
+    """(by, rho): null where either side is constant. Equal rows are counted first; ranks are taken from their mean, so that large groups lose no digits."""
+    rows = written(df.groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_rows")), "pairs")
+    centred = F.col("_rank") - (F.col("_total") + 1) / 2
+    ranked = _with_rank(_with_rank(rows, "_x", by, "_rx", centred, "_rows"), "_y", by, "_ry", centred, "_rows")
+    total = lambda a, b: F.sum(F.col("_rows") * F.col(a) * F.col(b))
+    sums = ranked.groupBy(*by).agg(total("_rx", "_ry").alias("xy"), total("_rx", "_rx").alias("xx"), total("_ry", "_ry").alias("yy"))
+    spread = F.sqrt("xx") * F.sqrt("yy")
+    return sums.select(*by, F.when(spread > 0, F.col("xy") / F.when(spread > 0, spread)).alias("rho"))
 
 
 def ranks(x) -> np.ndarray:
