@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T
+from ..runtime import written
 from .corpus import best_per_key
 
 
@@ -53,15 +54,23 @@ def attested_anchors(lemmas: DataFrame, least: int = 5, normalize: Callable[[Col
 def cooccurrence_anchors(pairs: DataFrame, source_tokens: Column, target_tokens: Column, line: str = "line_no", least: int = 3, least_share: float = 0.3) -> DataFrame:
     """surface, english, share, lines: for each source word the target word that shares most of its lines.
 
-    Ties go to the pair seen first: by line, then alphabetically.
+    Ties go to the pair seen first: by line, then alphabetically. A target word in too few lines to reach the share is left out
+    before words are paired, and so is a source word in too few lines; what is left goes to its source word as one list a line, not as a row a pair.
     """
-    rows = pairs.select(F.col(line).alias("line"), F.array_distinct(source_tokens).alias("s"), F.array_distinct(target_tokens).alias("t"))
-    seen = rows.where(F.size("t") > 0).select(F.explode("s").alias("surface")).groupBy("surface").agg(F.count(F.lit(1)).alias("lines"))
-    both = rows.select("line", F.explode("s").alias("surface"), "t").select("line", "surface", F.explode("t").alias("english"))
-    both = both.groupBy("surface", "english").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first"))
-    best = best_per_key(both, ["surface"], [F.col("n").desc(), F.col("first"), F.col("english")])
-    out = best.join(seen, "surface").withColumn("share", F.col("n") / F.col("lines"))
-    return out.where((F.col("lines") >= least) & (F.col("share") >= least_share)).select("surface", "english", "share", "lines")
+    rows = pairs.select(F.col(line).alias("line"), F.array_distinct(source_tokens).alias("s"), F.array_distinct(target_tokens).alias("t")).where(F.size("t") > 0)
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "lines")
+    said = rows.select("row", "line", F.explode("s").alias("surface"))
+    enough = said.groupBy("surface").agg(F.count(F.lit(1)).alias("lines")).where(F.col("lines") >= least)
+    named = rows.select("row", F.explode("t").alias("english"))
+    spread = named.groupBy("english").agg(F.count(F.lit(1)).alias("in")).withColumnRenamed("english", "_e")
+    targets = named.join(spread, F.col("english").eqNullSafe(F.col("_e"))).groupBy("row").agg(F.collect_list(F.struct("in", "english")).alias("t"))
+    met = said.join(enough, "surface").join(targets, "row")
+    can = F.filter("t", lambda x: x["in"] / F.col("lines") >= least_share)
+    met = met.select("surface", "lines", "line", F.transform(can, lambda x: x["english"]).alias("t")).where(F.size("t") > 0)
+    both = met.repartition("surface").select("surface", "lines", "line", F.explode("t").alias("english"))
+    both = both.groupBy("surface", "english").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first"), F.max("lines").alias("lines"))
+    best = best_per_key(both, ["surface"], [F.col("n").desc(), F.col("first"), F.col("english")]).withColumn("share", F.col("n") / F.col("lines"))
+    return best.where(F.col("share") >= least_share).select("surface", "english", "share", "lines")
 
 
 def lexicon_join(records: DataFrame, lexicon: DataFrame, vocabulary: Column, negators: tuple[str, ...] = T.NEGATORS) -> DataFrame:
